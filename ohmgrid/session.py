@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +41,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once for each context, so that its Python operators run wherever they land."""
+    sc = spark.sparkContext
+    if getattr(sc, "_ohmgrid_shipped", False):
+        return
+    here = Path(__file__).parent
+    name = os.path.join(tempfile.mkdtemp(), "ohmgrid.zip")
+    with zipfile.ZipFile(name, "w") as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f"{here.name}/{f.relative_to(here)}")
+    sc.addPyFile(name)  # the driver serves it
+    sc._ohmgrid_shipped = True
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once into the shared folder and read it back: lineage is cut, and a lost executor loses nothing."""
     spark = df.sparkSession
