@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ohmgrid.llm import batch_dedup, canonical, mixing, quantiles, tokenizer
+from ohmgrid.llm import batch_dedup, canonical, mixing, quantiles, shared_spans, tokenizer
 from ohmgrid.tables import table
 
 
@@ -57,8 +57,21 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.mix(table(spark, d, "documents"), targets), targets)
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans.SharedSpans(table(spark, d, "documents")).pairs()
+
+
+def p10_spans(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans.SharedSpans(table(spark, d, "documents")).spans()
+
+
+def p10_portions(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans.SharedSpans(table(spark, d, "documents")).portions()
+
+
 QUERIES = {
     "p3_found": p3_found, "p3_batches": p3_batches, "p4_found": p4_found, "p6_quantiles": p6_quantiles, "p6_digests": p6_digests,
-    "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_mix": p9_mix, "p9_shares": p9_shares,
+    "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_spans": p10_spans,
+    "p10_portions": p10_portions,
 }
 SQL: dict[str, str] = {}
