@@ -116,8 +116,9 @@ def spikes_by_scatter(x: np.ndarray, sus: np.ndarray, lo: np.ndarray, hi: np.nda
             )
             far = SCATTERS * scatter[c]
             inside = np.stack([x[a + k] for k in range(length)])
-            up = (inside.min(0) - np.maximum(before, after)) > far
-            down = (np.minimum(before, after) - inside.max(0)) > far
+            sides = np.stack([before, after, x[a - 1], x[b]])  # the next readings too: a longer excursion is no spike
+            up = inside.min(0) - sides.max(0) > far
+            down = sides.min(0) - inside.max(0) > far
             flag[c[up | down]] = True
     return flag
 
