@@ -60,7 +60,7 @@ def mix(docs: DataFrame, targets: DataFrame, tokens: int | None = None, seed: in
     counted = materialize(counted.filter("n_tokens > 0"), "counted")
     rows = sorted(t.join(counted.groupBy("source").agg(F.sum("n_tokens").alias("have")), "source").collect())  # one row per target
     total = sum(r.have for r in rows) if tokens is None else tokens
-    quota = apportion(total // BLOCK, [r.share for r in rows], [r.have * r.most // BLOCK for r in rows])
+    quota = apportion(total // BLOCK, [r.share for r in rows], [-(-r.have * r.most // BLOCK) for r in rows])
     plan = {r.source: (q, r.most, min(MOST_SHARDS, -(-r.have // SHARD_TOKENS))) for r, q in zip(rows, quota)}
     shards = spark.createDataFrame([(s, p[2]) for s, p in plan.items()], "source string, shards int")
     order = F.xxhash64(F.lit(seed), "doc_id")
@@ -71,8 +71,9 @@ def mix(docs: DataFrame, targets: DataFrame, tokens: int | None = None, seed: in
     quotas = []
     for s, own in sizes.items():
         own.sort()
-        blocks = apportion(plan[s][0], [float(h) for _, h in own], [h * plan[s][1] // BLOCK for _, h in own])
-        quotas += [(s, k, b * BLOCK // h, b * BLOCK % h) for (k, h), b in zip(own, blocks)]
+        blocks = apportion(plan[s][0], [float(h) for _, h in own], [-(-h * plan[s][1] // BLOCK) for _, h in own])
+        given = [min(b * BLOCK, h * plan[s][1]) for (_, h), b in zip(own, blocks)]
+        quotas += [(s, k, g // h, g % h) for (k, h), g in zip(own, given)]
     quotas = spark.createDataFrame(quotas, "source string, shard int, passes long, rest long")
     w = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     picked = placed.join(F.broadcast(quotas), ["source", "shard"]).withColumn("upto", F.sum("n_tokens").over(w))
