@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ohmgrid.plans import measurements
+from ohmgrid.plans import measurements, relational
 
-MODULES = (measurements,)
+MODULES = (measurements, relational)
 
 
 def queries() -> dict:
