@@ -59,8 +59,49 @@ n AS (SELECT metadata_id, slot, lead(slot) OVER (PARTITION BY metadata_id ORDER
 SELECT metadata_id, unnest(range(slot + 1, nxt)) AS slot FROM n WHERE nxt - slot - 1 BETWEEN 1 AND 100
 """
 
+P1_SQL = r"""
+WITH h AS (SELECT id, experiment, measurement_category, measured_on, columns, CASE WHEN contains(columns, chr(9)) THEN chr(9) WHEN contains(columns, ';') THEN ';' WHEN contains(columns, '|') THEN '|' ELSE ',' END AS sep
+  FROM baselines_metadata WHERE columns IS NOT NULL AND experiment IS NOT NULL AND measurement_category IS NOT NULL AND measured_on IS NOT NULL),
+b AS (SELECT *, string_split(columns, sep) AS heads FROM h), n AS (SELECT lower(header_base) AS base, any_value(field_name) AS field_name FROM header_names GROUP BY 1),
+fold AS (SELECT id, unnest(heads) AS head, generate_subscripts(heads, 1) AS k FROM b),
+base AS (SELECT id, k, regexp_replace(lower(trim(regexp_replace(head, '\[[^\]]*\]|\([^)]*\)', '', 'g'))), '\s+', '_', 'g') AS base FROM fold),
+named AS (SELECT DISTINCT experiment, measurement_category, measured_on, base, coalesce(field_name, base) AS field_name FROM base JOIN b USING (id) LEFT JOIN n USING (base) WHERE base <> ''),
+f AS (SELECT experiment, measurement_category, measured_on, field_name, string_agg(base, '|' ORDER BY base) AS bases FROM named GROUP BY ALL),
+parts AS (SELECT b.id, string_split(s.cells, b.sep) AS c FROM b JOIN file_samples s ON s.metadata_id = b.id WHERE len(string_split(s.cells, b.sep)) = len(b.heads)),
+cell AS (SELECT id, trim(unnest(c)) AS v, generate_subscripts(c, 1) AS k FROM parts),
+t AS (SELECT experiment, measurement_category, measured_on, coalesce(field_name, base) AS field_name, CASE WHEN bool_and(regexp_matches(v, '^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$')) THEN 'number' ELSE 'text' END AS kind
+  FROM cell JOIN base USING (id, k) JOIN b USING (id) LEFT JOIN n USING (base) WHERE v <> '' GROUP BY ALL),
+g AS (SELECT f.*, t.kind FROM f LEFT JOIN t USING (experiment, measurement_category, measured_on, field_name)),
+d AS (SELECT *, lag(measured_on) OVER (PARTITION BY experiment, measurement_category ORDER BY measured_on) AS before FROM (SELECT DISTINCT experiment, measurement_category, measured_on FROM f)),
+l AS (SELECT g.* FROM g JOIN d USING (experiment, measurement_category, measured_on) WHERE before IS NOT NULL),
+e AS (SELECT d.experiment, d.measurement_category, d.measured_on, g.field_name, g.bases, g.kind FROM d JOIN g ON g.experiment = d.experiment AND g.measurement_category = d.measurement_category AND g.measured_on = d.before),
+c AS (SELECT experiment, measurement_category, measured_on, field_name, l.bases AS b1, e.bases AS b0, l.kind AS k1, e.kind AS k0 FROM l FULL JOIN e USING (experiment, measurement_category, measured_on, field_name)),
+m AS (SELECT experiment, measurement_category, measured_on, string_agg(DISTINCT regexp_replace(lower(measurement_type), '[^a-z0-9]', '', 'g'), '|' ORDER BY regexp_replace(lower(measurement_type), '[^a-z0-9]', '', 'g')) AS t
+  FROM baselines_metadata WHERE experiment IS NOT NULL AND measurement_category IS NOT NULL AND measured_on IS NOT NULL AND measurement_type IS NOT NULL GROUP BY ALL),
+ml AS (SELECT *, lag(t) OVER (PARTITION BY experiment, measurement_category ORDER BY measured_on) AS t0 FROM m),
+r AS (SELECT experiment, measurement_category, measured_on, field_name, 'added' AS change FROM c WHERE b0 IS NULL UNION ALL SELECT experiment, measurement_category, measured_on, field_name, 'removed' FROM c WHERE b1 IS NULL
+  UNION ALL SELECT experiment, measurement_category, measured_on, field_name, 'renamed' FROM c WHERE b0 <> b1 UNION ALL SELECT experiment, measurement_category, measured_on, field_name, 'type_changed' FROM c WHERE k0 <> k1
+  UNION ALL SELECT experiment, measurement_category, measured_on, 'measurement_type', 'renamed' FROM ml WHERE t0 <> t)
+SELECT experiment, measurement_category, CAST(measured_on AS VARCHAR) AS measured_on, field_name, change FROM r
+"""
+
+#: Plain lists of spellings stand in for the fuzzy dictionary.
+P2_SQL = r"""
+WITH u AS (SELECT 'device_library' AS table_name, CAST(id AS BIGINT) AS row_id, notes, unnest(['voltage_rating', 'rdson_mohm', 'current_rating_a']) AS field_name, unnest([voltage_rating, rdson_mohm, current_rating_a]) AS raw FROM device_library
+  UNION ALL SELECT 'library_imports', import_id, notes, unnest(['voltage_rating', 'rdson_mohm', 'current_rating_a']), unnest([voltage_rating, rdson_mohm, current_rating_a]) FROM library_imports),
+a AS (SELECT *, trim(regexp_replace(raw, '(?i)\s*(@|\(|\bat\b).*$', '')) AS txt FROM u),
+b AS (SELECT *, regexp_extract(txt, '^[^0-9]*?([+-]?[0-9][0-9 .,]*(?:[eE][+-]?[0-9]+)?)', 1) AS num, lower(regexp_extract(txt, '^[^0-9]*?[+-]?[0-9][0-9 .,]*(?:[eE][+-]?[0-9]+)?\s*(\S*)', 1)) AS unit,
+  lower(rtrim(CASE field_name WHEN 'voltage_rating' THEN regexp_extract(notes, '(?i)voltage[^;,/]*?\b(?:in|as)\s+([^\s;,/]+)', 1) WHEN 'rdson_mohm' THEN regexp_extract(notes, '(?i)(?:on-resistance|rds\(on\))[^;,/]*?\b(?:in|as)\s+([^\s;,/]+)', 1)
+    ELSE regexp_extract(notes, '(?i)(?:current|\bif\b)[^;,/]*?\b(?:in|as)\s+([^\s;,/]+)', 1) END, '.')) AS said FROM a),
+c AS (SELECT *, try_cast(replace(regexp_replace(regexp_replace(regexp_replace(num, ' ', '', 'g'), ',([0-9]{3})(,|[.eE]|$)', '\1\2', 'g'), ',([0-9]{3})([.eE]|$)', '\1\2', 'g'), ',', '.') AS DOUBLE) AS v FROM b),
+d AS (SELECT *, CASE WHEN field_name = 'voltage_rating' THEN CASE WHEN x IN ('v', 'vdc', 'volts') THEN 1e3 WHEN x IN ('kv', 'kilovolts') THEN 1e6 WHEN x IN ('mv', 'millivolts') THEN 1 END
+    WHEN field_name = 'rdson_mohm' THEN CASE WHEN x IN ('mohm', 'milliohm', 'mω') THEN 1e3 WHEN x IN ('ohm', 'ohms', 'ω', 'r') THEN 1e6 WHEN x IN ('uohm', 'µω', 'micro-ohm') THEN 1 END
+    ELSE CASE WHEN x IN ('a', 'adc', 'amps') THEN 1e3 WHEN x IN ('ka', 'kiloamperes') THEN 1e6 WHEN x IN ('ma', 'milliamps') THEN 1 END END AS factor FROM (SELECT *, coalesce(nullif(unit, ''), said) AS x FROM c))
+SELECT table_name, row_id, field_name, CAST(round(v * coalesce(factor, 1e3)) AS BIGINT) AS value_base FROM d WHERE v IS NOT NULL
+"""
+
 QUERIES = {
     "p1_found": p1_found, "p1_table": p1_table, "p1_versions": p1_versions, "p2_found": p2_found, "p2_aliases": p2_aliases,
     "p5_found": p5_found, "p5_by_file": p5_by_file, "p7_found": p7_found, "p7_grid": p7_grid,
 }
-SQL = {"p7_found": P7_SQL}
+SQL = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p7_found": P7_SQL}

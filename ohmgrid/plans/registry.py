@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ohmgrid.plans import measurements, relational
+from ohmgrid.plans import laboratory, measurements, relational
 
-MODULES = (measurements, relational)
+MODULES = (measurements, relational, laboratory)
 
 
 def queries() -> dict:

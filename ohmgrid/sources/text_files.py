@@ -34,9 +34,10 @@ def _number(c: Column) -> Column:
 
 def _cells(files: DataFrame, header: Column, body: Column, separator: str) -> DataFrame:
     """(path, row_no, base, step, value) of every cell of the rows that fit the header."""
-    heads = F.transform(F.split(header, separator), lambda h: F.struct(
-        F.regexp_replace(F.lower(F.trim(F.regexp_replace(h, r"\([^)]*\)|\[[^\]]*\]", ""))), r"\s+", "_").alias("base"), F.coalesce(F.regexp_extract(h, r"\(([0-9]+)\)", 1).try_cast("int"), F.lit(1)).alias("step")))
-    rows = files.select("path", heads.alias("heads"), F.posexplode(body).alias("row_no", "line")).withColumn("parts", F.split("line", separator)).filter("size(parts) = size(heads)")
+    base = lambda h: F.regexp_replace(F.lower(F.trim(F.regexp_replace(h, r"\([^)]*\)|\[[^\]]*\]", ""))), r"\s+", "_")
+    step = lambda h: F.coalesce(F.regexp_extract(h, r"\(([0-9]+)\)", 1).try_cast("int"), F.lit(1))
+    heads = F.transform(F.split(header, separator), lambda h: F.struct(base(h).alias("base"), step(h).alias("step")))
+    rows = files.select("path", heads.alias("heads"), body.alias("body")).select("path", "heads", F.posexplode("body").alias("row_no", "line")).withColumn("parts", F.split("line", separator)).filter("size(parts) = size(heads)")
     flat = rows.select("path", "row_no", F.explode(F.arrays_zip("heads", "parts")).alias("z"))
     return flat.select("path", "row_no", F.col("z.heads.base").alias("base"), F.col("z.heads.step").alias("step"), _number(F.col("z.parts")).alias("value"))
 
