@@ -74,4 +74,34 @@ QUERIES = {
     "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_spans": p10_spans,
     "p10_portions": p10_portions,
 }
-SQL: dict[str, str] = {}
+P3_SQL = r"""
+WITH RECURSIVE f AS (SELECT id, regexp_replace(lower(replace(url_decode(replace(csv_path, '+', '%2B')), chr(92), '/')), '[\s_-]+', '_', 'g') AS p, nullif(regexp_replace(lower(trim(file_hash)), '^md5:', ''), '') AS h FROM baselines_metadata WHERE coalesce(num_points, 1) <> 0),
+k AS (SELECT id, CASE WHEN h <> 'd41d8cd98f00b204e9800998ecf8427e' THEN 'h' || h END AS h, CASE WHEN regexp_matches(p, '_[0-9]{4}_[0-9]{6}/') AND regexp_matches(p, '/[0-9]{8}_[a-z]+/') AND regexp_matches(p, '/w[0-9]+_c[0-9]+_[a-z]+_[a-z]+_[0-9]+v_[0-9]+[^/]*$')
+    THEN regexp_extract(p, '_([0-9]{4}_[0-9]{6})/', 1) || regexp_extract(p, '/([0-9]{8}_[a-z]+)/', 1) || regexp_extract(p, '/(w[0-9]+_c[0-9]+_[a-z]+_[a-z]+_[0-9]+v_[0-9]+)[^/]*$', 1) ELSE regexp_extract(p, '([^/.]*)[^/]*$', 1) END AS p FROM f),
+node AS (SELECT id, h AS key FROM k WHERE h IS NOT NULL UNION ALL SELECT id, 'p' || p FROM k WHERE p IS NOT NULL AND p <> ''),
+link AS (SELECT DISTINCT a.id AS u, b.id AS v FROM node a JOIN node b ON a.key = b.key AND a.id <> b.id),
+reach AS (SELECT u, v FROM link UNION SELECT r.u, l.v FROM reach r JOIN link l ON r.v = l.u)
+SELECT min(v) AS id_a, u AS id_b FROM reach WHERE u <> v GROUP BY u HAVING min(v) < u
+"""
+
+P4_SQL = r"""
+WITH t AS (SELECT DISTINCT device_id, coalesce(data_source, 'baselines') AS source FROM baselines_metadata WHERE trim(device_id) <> '' AND device_id NOT IN (SELECT part_number FROM device_library)),
+a AS (SELECT device_id, source, regexp_replace(upper(trim(device_id)), '([ _-]*#[ ]*[0-9]+|[ _-]*[(]NO[.]? ?[0-9]+[)]|[ _-]+SAMPLE ?[0-9]+|_S[0-9][0-9]?|[ _-]+DUT ?[0-9]+|[ _-]+DIE ?[0-9]+)\s*$', '') AS s FROM t),
+b AS (SELECT device_id, source, regexp_replace(regexp_replace(s, '^((CARRIER|BOARD|OLD)[ _-]+)+', ''), '^(TESSARAC|NORDHELM|QUILLON|VARROWEN|OSMERE)( DEVICES| SEMI| POWER| ELECTRIC)?[ _:-]+', '') AS s FROM a),
+c AS (SELECT *, regexp_replace(s, '[ _.,:;/-]+', '', 'g') AS q FROM b), l AS (SELECT part_number, regexp_replace(upper(part_number), '[ _.,:;/-]+', '', 'g') AS e FROM device_library),
+r AS (SELECT c.device_id, c.source, x.part_number, row_number() OVER (PARTITION BY c.device_id, c.source ORDER BY x.priority DESC, length(x.pattern) DESC, x.id) AS n FROM c JOIN device_mapping_rules x
+  ON (x.scope = 'all' OR c.source = CASE x.scope WHEN 'sc' THEN 'sc_ruggedness' ELSE x.scope END) AND CASE x.pattern_type WHEN 'substring' THEN contains(q, regexp_replace(upper(x.pattern), '[ _.,:;/-]+', '', 'g')) ELSE regexp_matches(s, '(?i)' || x.pattern) OR regexp_matches(q, '(?i)' || x.pattern) END),
+d AS (SELECT q, part_number, levenshtein(q, e) AS n FROM (SELECT DISTINCT q FROM c) JOIN l ON abs(length(q) - length(e)) <= 2 WHERE levenshtein(q, e) <= 2), m AS (SELECT q, min(n) AS n FROM d GROUP BY 1),
+o AS (SELECT d.q, min(part_number) AS part_number FROM d JOIN m ON d.q = m.q AND d.n = m.n GROUP BY 1 HAVING count(*) = 1),
+z AS (SELECT c.device_id, c.source, coalesce(r.part_number, o.part_number, 'UNMATCHED') AS part_number FROM c LEFT JOIN r ON r.device_id = c.device_id AND r.source = c.source AND r.n = 1 LEFT JOIN o ON o.q = c.q)
+SELECT f.id AS metadata_id, z.part_number FROM baselines_metadata f JOIN z ON f.device_id = z.device_id AND coalesce(f.data_source, 'baselines') = z.source
+"""
+
+#: Every stretch of 200 characters of every text; holds up to the middle scale.
+P10_SQL = """
+WITH w AS (SELECT DISTINCT doc_id, md5(substring(text, k, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS k FROM documents WHERE length(text) >= 200)),
+g AS (SELECT h FROM w GROUP BY 1 HAVING count(*) > 1), s AS (SELECT w.* FROM w JOIN g USING (h))
+SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id
+"""
+
+SQL: dict[str, str] = {"p3_found": P3_SQL, "p4_found": P4_SQL, "p10_found": P10_SQL}
