@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ohmgrid.session import join_dimension
+from ohmgrid.session import join_dimension, materialize
 
 CHANNELS = ("v_gate", "i_gate", "v_drain", "i_drain")
 LIMIT = 1e30
@@ -58,7 +58,7 @@ def paired_slots(slots: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
 def missing_slots(points: DataFrame, files: DataFrame) -> DataFrame:
     """(metadata_id, slot): the empty slots between two readings of a file that are no more than PAUSE apart."""
-    pairs = paired_slots(occupied_slots(points, files))
+    pairs = paired_slots(materialize(occupied_slots(points, files), "slots"))
     gap = F.col("next_slot") - F.col("slot") - 1
     return pairs.filter((gap >= 1) & (gap <= PAUSE)).select("metadata_id", F.explode(F.sequence(F.col("slot") + 1, F.col("next_slot") - 1)).alias("slot"))
 
@@ -69,7 +69,7 @@ def regular_series(points: DataFrame, files: DataFrame) -> DataFrame:
     A read slot has the last valid state of its last reading; a filled one the straight line from the last reading before
     to the first after, at the slot's begin; a pause has nulls.
     """
-    slots = occupied_slots(points, files, CHANNELS)
+    slots = materialize(occupied_slots(points, files, CHANNELS), "slots")
     pairs = paired_slots(slots, ("first",))
     time = lambda s: F.col("delay_time") * s
     read = slots.select("metadata_id", "slot", time(F.col("slot")).alias("grid_time"), F.lit("read").alias("status"), *(F.col(f"last.{c}").alias(c) for c in CHANNELS))
