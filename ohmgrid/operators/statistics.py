@@ -1,12 +1,13 @@
 """Aggregates of aggregates: means of means, medians of medians, robust scales, weighted quantiles, ranks, modes.
 
 Defined results: nulls are left out of values and weights; groups without values give null or no row as named; a spread
-of a single value is 0 where a band is asked for; empty tables give empty results.
+of a single value is 0 where a band is asked for; sigmas and correlations leave out rows of a null key; empty tables give
+empty results.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,17 +32,18 @@ def robust_scale(df: DataFrame, key: list[str], value: str, least: float = 1e-6)
 
 def robust_sigma(df: DataFrame, key: list[str], value: str) -> DataFrame:
     """(key, n, sigma): 1.4826 MAD of five or more values (0 for fewer), the population deviation where the MAD is 0."""
-    med = F.percentile(value, F.lit(0.5)).over(Window.partitionBy(*key))
-    d = df.filter(F.col(value).isNotNull()).withColumn("_d", F.abs(F.col(value) - med))
+    own = df.filter(F.col(value).isNotNull()).select(*key, value)
+    med = own.groupBy(*key).agg(F.percentile(value, F.lit(0.5)).alias("_med"))
+    d = own.join(med, key).withColumn("_d", F.abs(F.col(value) - F.col("_med")))
     mad = 1.4826 * F.percentile("_d", F.lit(0.5))
     return d.groupBy(*key).agg(F.count("*").alias("n"), F.when(F.count("*") < 5, 0.0).when(mad > 0, mad).otherwise(F.stddev_pop(value)).alias("sigma"))
 
 
 def weighted_quantile(df: DataFrame, key: list[str], value: str, weight: str, q: list[float]) -> DataFrame:
     """(key, q, value): the lowest value at which the running weight reaches q of the whole."""
-    w = Window.partitionBy(*key).orderBy(value).rangeBetween(Window.unboundedPreceding, 0)
-    d = df.filter(F.col(value).isNotNull() & (F.col(weight) > 0))
-    run = d.withColumn("_r", F.sum(weight).over(w)).withColumn("_t", F.sum(weight).over(Window.partitionBy(*key))).withColumn("q", F.explode(F.array(*map(F.lit, q))))
+    w = Window.partitionBy(*key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    d = df.filter(F.col(value).isNotNull() & (F.col(weight) > 0)).groupBy(*key, value).agg(F.sum(weight).alias("_w"))  # one row a distinct value
+    run = d.withColumn("_r", F.sum("_w").over(w)).withColumn("_t", F.sum("_w").over(Window.partitionBy(*key))).withColumn("q", F.explode(F.array(*map(F.lit, q))))
     return run.filter(F.col("_r") >= F.col("q") * F.col("_t")).groupBy(*key, "q").agg(F.min(value).alias(value))
 
 
@@ -56,11 +58,13 @@ def correlations(df: DataFrame, key: list[str], x: str, y: str) -> DataFrame:
     """(key, n, pearson, spearman); ranks of ties are averaged."""
     d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
 
-    def rank(c: str) -> Column:
-        w, ties = Window.partitionBy(*key).orderBy(c), Window.partitionBy(*key, c)
-        return F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2
+    def rank(c: str, name: str) -> DataFrame:
+        """Average rank of each distinct value."""
+        n = d.groupBy(*key, c).agg(F.count("*").alias("_c"))
+        upto = F.sum("_c").over(Window.partitionBy(*key).orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
+        return n.select(*key, c, (upto - (F.col("_c") - 1) / 2).alias(name))
 
-    r = d.withColumn("_x", rank(x)).withColumn("_y", rank(y))
+    r = d.join(rank(x, "_x"), [*key, x]).join(rank(y, "_y"), [*key, y])
     return r.groupBy(*key).agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson"), F.corr("_x", "_y").alias("spearman"))
 
 
