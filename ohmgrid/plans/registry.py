@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ohmgrid.plans import laboratory, measurements, relational
+from ohmgrid.plans import laboratory, measurements, relational, reports
 
-MODULES = (measurements, relational, laboratory)
+MODULES = (measurements, relational, laboratory, reports)
 
 
 def queries() -> dict:
