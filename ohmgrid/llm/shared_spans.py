@@ -190,8 +190,10 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = []
             for k in range(j - i):
                 p = lists[i + k].values.to_numpy(zero_copy_only=False).astype(np.int64)
-                s = np.unique((p[:, None] - np.arange(LENGTH - KEY + 1)).ravel())
-                s = s[(s >= 0) & (s + LENGTH <= sizes[k])] + starts[k]
+                edge = np.zeros(sizes[k] + 2, np.int64)
+                np.add.at(edge, np.maximum(p - (LENGTH - KEY), 0), 1)
+                np.add.at(edge, p + 1, -1)
+                s = np.flatnonzero(np.cumsum(edge)[: sizes[k] - LENGTH + 1] > 0) + starts[k]
                 out.append((np.full(len(s), i + k), s))
             text, s = (np.concatenate(x) for x in zip(*out))
             if not len(s):
