@@ -60,9 +60,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext.__dict__.setdefault("_ohmgrid_written", []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession) -> None:
+    """Delete what materialize() has written in this context, once no result that reads it is needed any more."""
+    sc = spark.sparkContext
+    for path in sc.__dict__.pop("_ohmgrid_written", []):
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def join_dimension(fact: DataFrame, dim: DataFrame, key: str, row_bytes: int = 64, how: str = "inner") -> DataFrame:
     """Join fact to dim on key; dim is broadcast only if its counted rows fit BROADCAST_BYTES, else both sides shuffle
     and adaptive execution splits a skewed key."""

@@ -20,7 +20,7 @@ CHANNEL = {
 
 
 def read_texts(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    return spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    return spark.read.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
 def _lines() -> Column:

@@ -51,7 +51,7 @@ def test_series(spark):
     assert [r.total for r in series.running_total(d.filter("t IS NOT NULL"), ["k"], ["t"], "v").orderBy("k", "t").collect()] == [1.0, 4.0, None, 4.0]
     p = df(spark, "k int, p int", *[(1, x) for x in (1, 2, 4, 9, 10)])
     assert rows(series.clusters(p, ["k"], "p", 2).select("first", "last", "n")) == [(1, 4, 3), (9, 10, 2)]
-    s = series.rolling_step(df(spark, "k int, t int, v double", *[(1, i, v) for i, v in enumerate([1, 1, 1, 5, 5, 5])]), ["k"], ["t"], "v", 3).orderBy("t").collect()
+    s = series.rolling_step(df(spark, "k int, t int, v double", *[(1, i, v) for i, v in enumerate([1.0, 1.0, 1.0, 5.0, 5.0, 5.0])]), ["k"], ["t"], "v", 3).orderBy("t").collect()
     assert [r.step for r in s] == [0.0, 0.0, 4.0, 4.0, 4.0, 0.0]
     e = series.edge_medians(d, ["k"], ["t"], "v", 1)
     assert rows(e) == [(1, 1.0, 7.0), (2, 4.0, 4.0)]
@@ -95,7 +95,7 @@ def test_active_windows(spark):
 
 def test_events(spark):
     current = [1e-6 * (1 + 0.01 * (k % 3)) for k in range(40)]
-    gate = [1e-9] * 40
+    gate = [1e-9 * (1 + 0.01 * (k % 3)) for k in range(40)]
     for k in range(20, 40):
         current[k] += 1e-3
         gate[k] += 8e-4

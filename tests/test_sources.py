@@ -40,7 +40,7 @@ def test_folders(spark, tmp_path):
     assert listing.crawl(spark, str(tmp_path), ("csv", "txt"), exclude=("y.",)).count() == 1
     sheets = tmp_path / "s"
     sheets.mkdir()
-    (sheets / "w.xls").write_bytes(b"")
+    (sheets / "w.xls").write_bytes(b"no sheet")
     assert binary_files.waveforms(spark, str(sheets)).filter("skipped IS NOT NULL").count() == 1
 
 
