@@ -7,7 +7,7 @@ from ohmgrid import session
 
 def test_materialize_and_discard(spark):
     df = session.materialize(spark.range(5), "numbers")
-    assert df.count() == 5 and df.schema == spark.range(5).schema
+    assert df.count() == 5 and df.dtypes == spark.range(5).dtypes
     path = spark.sparkContext._ohmgrid_written[-1]
     assert path.startswith(session.shared_dir(spark))
     session.discard(spark)
