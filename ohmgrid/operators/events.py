@@ -1,7 +1,7 @@
 """Single events in time series of currents: robust thresholds, clusters, context, classes, and energy windows.
 
-A file's points are ordered by (time, index). Differences, medians and cluster numbers are window expressions; events are
-aggregates of clusters joined back to the points around them. The class is one ladder over ratios of the steps.
+A file's points are numbered by (time, index) over any number of tasks; differences look back in blocks; events are
+aggregates of clusters joined back, bucket by bucket, to the points around them. The class is one ladder over ratios of the steps.
 
 Defined results: overflowed and null readings have no difference; a file of fewer than six points has sigma 0 and so the
 floor as threshold; a file without candidates has no event; ties of a peak go to the lowest position; empty tables give
@@ -16,8 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ohmgrid.operators.cleaning import cleaned
-from ohmgrid.operators.series import islands, ordered
+from ohmgrid.operators.joins import points_in_intervals
+from ohmgrid.operators.series import islands, look_back, numbered, ordered
 from ohmgrid.operators.statistics import robust_sigma
+from ohmgrid.session import materialize
 
 
 @dataclass(frozen=True)
@@ -37,15 +39,13 @@ class Detector:
 def positioned(points: DataFrame) -> DataFrame:
     """(metadata_id, position, time_val, channels): distinct cleaned points numbered by (time, point_index)."""
     p = cleaned(points).select("metadata_id", "point_index", "time_val", "v_gate", "i_gate", "v_drain", "i_drain", "fluence").distinct()
-    w = ordered(["metadata_id"], ["time_val", "point_index"])
-    return p.withColumn("position", F.row_number().over(w))
+    return numbered(p, ["metadata_id"], ["time_val", "point_index"])
 
 
 def candidates(pos: DataFrame, cfg: Detector = Detector()) -> DataFrame:
     """Positions whose rise of drain or gate current reaches its file's threshold, with both rises and thresholds."""
-    w = ordered(["metadata_id"], ["position"])
-    d = pos.select("metadata_id", "position", (F.abs("i_drain") - F.lag(F.abs("i_drain")).over(w)).alias("d_drain"), (F.abs("i_gate") - F.lag(F.abs("i_gate")).over(w)).alias("d_gate"))
-    out = d
+    back = look_back(pos.select("metadata_id", "position", F.abs("i_drain").alias("i_drain"), F.abs("i_gate").alias("i_gate")), ["metadata_id"], "position", {"b_drain": "i_drain", "b_gate": "i_gate"})
+    d = out = materialize(back.select("metadata_id", "position", (F.col("i_drain") - F.col("b_drain")).alias("d_drain"), (F.col("i_gate") - F.col("b_gate")).alias("d_gate")), "steps")
     for c, floor in (("drain", cfg.drain_floor), ("gate", cfg.gate_floor)):
         s = robust_sigma(d, ["metadata_id"], f"d_{c}").select("metadata_id", F.greatest(F.lit(floor), cfg.sigmas * F.col("sigma")).alias(f"t_{c}"))
         out = out.join(s, "metadata_id", "left").withColumn(f"t_{c}", F.coalesce(f"t_{c}", F.lit(floor)))
@@ -60,7 +60,8 @@ def events(pos: DataFrame, cfg: Detector = Detector()) -> DataFrame:
     e = c.groupBy("metadata_id", F.col("island").alias("event")).agg(
         F.min("position").alias("first"), F.max("position").alias("last"), F.max("d_drain").alias("rise_drain"), F.max("d_gate").alias("rise_gate"), F.max("t_drain").alias("t_drain"), F.max("t_gate").alias("t_gate")
     )
-    around = pos.join(e.select("metadata_id", "event", "first", "last"), "metadata_id").filter(F.col("position").between(F.col("first") - cfg.context, F.col("last") + cfg.context))
+    reach = e.select("metadata_id", "event", "first", "last", (F.col("first") - cfg.context).alias("low"), (F.col("last") + cfg.context).alias("high"))
+    around = points_in_intervals(pos, reach, ["metadata_id"], "position", "low", "high", width=256)
     before, after = F.col("position") < F.col("first"), F.col("position") > F.col("last")
     med = lambda cond, x: F.percentile(F.when(cond, F.col(x)), F.lit(0.5))
     level = F.abs("i_drain")
@@ -87,8 +88,8 @@ def collapse(event: DataFrame) -> DataFrame:
 def active_window(pos: DataFrame, files: DataFrame, share: float = 0.995, abort: float = 10e-3) -> DataFrame:
     """(metadata_id, basis, start, stop, comparable): when the beam was on, by positive fluence steps, cut where the
     current reaches its compliance (or 10 mA where none is known); any falling fluence is an artifact."""
-    w = ordered(["metadata_id"], ["position"])
-    d = pos.withColumn("df", F.col("fluence") - F.lag("fluence").over(w)).join(files.select(F.col("id").alias("metadata_id"), F.col("compliance_ch1").alias("most")), "metadata_id", "left")
+    back = look_back(pos.select("metadata_id", "position", "time_val", "i_drain", "fluence"), ["metadata_id"], "position", {"b_fluence": "fluence"})
+    d = back.withColumn("df", F.col("fluence") - F.col("b_fluence")).join(files.select(F.col("id").alias("metadata_id"), F.col("compliance_ch1").alias("most")), "metadata_id", "left")
     limit = F.coalesce(F.col("most") * share, F.lit(abort))
     s = d.groupBy("metadata_id").agg(
         F.min(F.when(F.col("df") > 0, F.col("time_val"))).alias("start"), F.max(F.when(F.col("df") > 0, F.col("time_val"))).alias("on"), F.bool_or(F.col("df") < 0).alias("reset"),

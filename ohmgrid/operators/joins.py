@@ -37,11 +37,22 @@ def by_discriminator(left: DataFrame, right: DataFrame, kind: str, keys: dict[st
     return left.withColumn("match_key", match).join(right.withColumnRenamed("key", "match_key"), "match_key", how)
 
 
-def points_in_intervals(points: DataFrame, intervals: DataFrame, on: list[str], position: str, low: str = "first", high: str = "last", how: str = "inner") -> DataFrame:
-    """Points with the intervals of the same key that hold their position."""
+def points_in_intervals(points: DataFrame, intervals: DataFrame, on: list[str], position: str, low: str = "first", high: str = "last", width: float | None = None) -> DataFrame:
+    """Points with the intervals of the same key that hold their position.
+
+    With width, positions are bucketed and each interval is repeated for the buckets it touches, so that a hot key is
+    joined bucket by bucket instead of every point with every interval.
+    """
     r = intervals.withColumnsRenamed({c: f"_r_{c}" for c in on})
-    keys = [points[c] == r[f"_r_{c}"] for c in on]
-    return points.join(r, [*keys, points[position].between(r[low], r[high])], how).drop(*(f"_r_{c}" for c in on))
+    keys = [F.col(c) == F.col(f"_r_{c}") for c in on]
+    p = points
+    if width:
+        bucket = lambda c: F.floor(c / width)
+        p = points.withColumn("_bucket", bucket(F.col(position)))
+        r = r.filter(F.col(low) <= F.col(high)).withColumn("_r_bucket", F.explode(F.sequence(bucket(F.col(low)), bucket(F.col(high)))))
+        keys.append(F.col("_bucket") == F.col("_r_bucket"))
+    held = p.join(r, [*keys, F.col(position).between(F.col(low), F.col(high))])
+    return held.drop(*(f"_r_{c}" for c in on), "_bucket", "_r_bucket")
 
 
 def nearest(left: DataFrame, right: DataFrame, on: list[str], features: list[str], scales: dict[str, float], left_id: str, right_id: str, k: int) -> DataFrame:

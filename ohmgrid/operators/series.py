@@ -12,11 +12,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ohmgrid.session import materialize
+
+#: Rows of a key that one task looks back over.
+BLOCK = 65_536
+
 
 def ordered(key: list[str], order: list[str]):
     return Window.partitionBy(*key).orderBy(*(F.asc_nulls_last(o) for o in order))
 
 
+def numbered(df: DataFrame, key: list[str], order: list[str], name: str = "position") -> DataFrame:
+    """df plus name: the number of each row within its key, from 1, by order (nulls last).
+
+    A key may hold any part of all rows: rows are range-partitioned by key and order, numbered inside their partition, and
+    moved on by the rows of their key in the partitions before, of which there is one row for each key and partition.
+    """
+    by = [*key, *(x for i, o in enumerate(order) for x in (f"_null{i}", o))]
+    d = df.withColumns({f"_null{i}": F.col(o).isNull() for i, o in enumerate(order)})
+    d = d.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_i", F.monotonically_increasing_id()).drop(*(f"_null{i}" for i in range(len(order))))
+    d = materialize(d, "numbered").withColumn("_part", F.shiftright("_i", 33))
+    runs = d.groupBy(*key, "_part").agg(F.min("_i").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.withColumn("_move", before - F.col("_first") + 1).select(*(F.col(k).alias(f"_k_{k}") for k in key), F.col("_part").alias("_p"), "_move")
+    on = [F.col("_part") == F.col("_p"), *(F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in key)]
+    return d.join(runs, on).withColumn(name, F.col("_i") + F.col("_move")).drop("_i", "_part", "_p", "_move", *(f"_k_{k}" for k in key))
+
+
+def look_back(df: DataFrame, key: list[str], position: str, columns: dict[str, str], block: int = BLOCK) -> DataFrame:
+    """df plus, for each new name of columns, the value of its column in the row before; position is dense within the key.
+
+    lag() runs in blocks of positions; the first row of a block gets its values from the last row of the block before.
+    """
+    w = Window.partitionBy(*key, "_block").orderBy(position)
+    d = df.withColumn("_block", F.floor(F.col(position) / block))
+    d = d.withColumns({n: F.lag(c).over(w) for n, c in columns.items()}).drop("_block")
+    at_edge = F.pmod(F.col(position), F.lit(block)) == 0
+    last = df.filter(F.pmod(F.col(position) + 1, F.lit(block)) == 0).select(*key, (F.col(position) + 1).alias(position), *(F.col(c).alias(n) for n, c in columns.items()))
+    edge = d.filter(at_edge).drop(*columns).join(last, [*key, position], "left").select(*d.columns)
+    return d.filter(~at_edge).unionByName(edge)
+
+
 def islands(df: DataFrame, key: list[str], position: str, gap: int | float) -> DataFrame:
     """df plus island: a number that goes up where position is more than gap beyond the one before it."""
     w = ordered(key, [position])

@@ -122,7 +122,7 @@ isl AS (SELECT *, sum(CASE WHEN position - prev <= 2 THEN 0 ELSE 1 END) OVER (PA
 SELECT metadata_id, CAST(event AS BIGINT) AS event, min(position) AS first, max(position) AS last, count(*) AS steps, round(max(d_drain) * 1e9, 3) AS rise_na FROM isl GROUP BY ALL""")
 def _(t):
     c = series.islands(events.candidates(positioned(t)), ["metadata_id"], "position", events.Detector.gap)
-    return c.groupBy("metadata_id", F.col("island").alias("event")).agg(F.min("position").cast("long").alias("first"), F.max("position").cast("long").alias("last"), F.count("*").alias("steps"), r(F.max("d_drain") * 1e9, 3).alias("rise_na"))
+    return c.groupBy("metadata_id", F.col("island").alias("event")).agg(F.min("position").alias("first"), F.max("position").alias("last"), F.count("*").alias("steps"), r(F.max("d_drain") * 1e9, 3).alias("rise_na"))
 
 
 @query("event_classes", CANDIDATES + """,

@@ -152,7 +152,7 @@ SELECT p.metadata_id, count(*) AS points, min(p.point_index) AS first_point, max
 def _(t):
     p = t("baselines_measurements").select("metadata_id", "point_index", "time_val").filter("abs(time_val) < 1e30").distinct()
     w = p.groupBy("metadata_id").agg((F.min("time_val") + 10).alias("first"), (F.min("time_val") + 40).alias("last"))
-    hit = joins.points_in_intervals(p, w, ["metadata_id"], "time_val")
+    hit = joins.points_in_intervals(p, w, ["metadata_id"], "time_val", width=10.0)
     return hit.groupBy("metadata_id").agg(F.count("*").alias("points"), F.min("point_index").alias("first_point"), F.max("point_index").alias("last_point"))
 
 

@@ -59,6 +59,25 @@ def test_series(spark):
     assert series.clusters(p.limit(0), ["k"], "p", 2).count() == 0
 
 
+def test_numbers_and_looking_back(spark):
+    d = df(spark, "k int, t double, i int, position string", *[(1, float(x % 50), x, "clash") for x in range(1000)], (2, None, 1, "c"), (2, 3.0, 9, "c"), (None, 1.0, 1, "c"), (None, 1.0, 0, "c"))
+    got = series.numbered(d.repartition(9), ["k"], ["t", "i"]).collect()
+    own = {k: [(r.t, r.i) for r in sorted((r for r in got if r.k == k), key=lambda r: r.position)] for k in (1, 2, None)}
+    assert own[1] == sorted((float(x % 50), x) for x in range(1000)) and own[2] == [(3.0, 9), (None, 1)] and own[None] == [(1.0, 0), (1.0, 1)]
+    assert sorted(r.position for r in got if r.k == 1) == list(range(1, 1001))
+    n = df(spark, "k int, position int, v int", *[(k, p, 10 * p if p != 5 else None) for k in (1, 2) for p in range(1, 30)])
+    back = series.look_back(n, ["k"], "position", {"before": "v"}, block=4).collect()
+    assert all(r.before == (None if r.position in (1, 6) else 10 * (r.position - 1)) for r in back) and len(back) == 58
+    assert series.numbered(d.limit(0), ["k"], ["t"]).count() == 0
+
+
+def test_bucketed_intervals(spark):
+    pts = df(spark, "f int, p double", *[(1, x / 3) for x in range(60)], (2, 5.0), (None, 5.0))
+    iv = df(spark, "f int, first double, last double", (1, 2.0, 9.5), (1, 9.0, 9.0), (1, 5.0, 4.0), (2, -5.0, 50.0))
+    plain = joins.points_in_intervals(pts, iv, ["f"], "p")
+    assert rows(joins.points_in_intervals(pts, iv, ["f"], "p", width=2.5).select(plain.columns)) == rows(plain)
+
+
 def test_statistics(spark):
     d = df(spark, "g string, m int, v double", ("a", 1, 1.0), ("a", 1, 3.0), ("a", 2, 6.0), ("b", 3, None))
     assert rows(statistics.mean_of_means(d, ["g", "m"], ["g"], "v").select("g", "members", "mean")) == [("a", 2, 4.0)]
