@@ -110,6 +110,15 @@ class Encoder:
         except (ImportError, AttributeError):
             pass
 
+    def token_bytes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes of all tokens one after another, and the begin and length of each by id."""
+        if not hasattr(self, "_bytes"):
+            order = sorted(self.ranks.items(), key=lambda x: x[1])
+            length = np.zeros(order[-1][1] + 1, np.int64)
+            length[[i for _, i in order]] = [len(t) for t, _ in order]
+            self._bytes = np.frombuffer(b"".join(t for t, _ in order), np.uint8), np.cumsum(length) - length, length
+        return self._bytes
+
     def merge_pairs(self, piece: bytes) -> list[int]:
         """The pair of lowest rank is merged, again and again, the first of equals first."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
@@ -248,6 +257,20 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: s
     return df.select(key, text).mapInArrow(_mapper(_vocabulary(df, vocabulary), key, text, build), f"`{key}` {kind}, ids array<int>")
 
 
+def encode_with_offsets(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+    """(key, ids, ends): the ids of each text and the byte of its UTF-8 form at which each token ends."""
+
+    def build(enc, b, ids, counts):
+        stop = np.append(0, np.cumsum(enc.token_bytes()[2][ids]))
+        last = np.cumsum(counts)
+        ends = stop[1:] - np.repeat(stop[last - counts], counts)
+        edges = pa.array(np.append(0, last).astype(np.int32))
+        return pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(edges, pa.array(ids, pa.int32())), pa.ListArray.from_arrays(edges, pa.array(ends, pa.int64()))], [key, "ids", "ends"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, text).mapInArrow(_mapper(_vocabulary(df, vocabulary), key, text, build), f"`{key}` {kind}, ids array<int>, ends array<long>")
+
+
 def count_tokens(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """df without the text, with n_tokens."""
     keep = [c for c in df.columns if c != text]
@@ -263,15 +286,11 @@ def round_trip(df: DataFrame, key: str = "doc_id", text: str = "text", vocabular
     """(key, n_tokens, n_bytes, restored): whether the tokens' bytes at their offsets give the text again."""
 
     def build(enc, b, ids, counts):
-        if not hasattr(enc, "bytes_of"):
-            order = sorted(enc.ranks.items(), key=lambda x: x[1])
-            enc.length = np.array([len(t) for t, _ in order])
-            enc.start = np.append(0, np.cumsum(enc.length))[:-1]
-            enc.bytes_of = np.frombuffer(b"".join(t for t, _ in order), np.uint8)
+        data, start, length = enc.token_bytes()
         texts = b.column(1).cast(pa.large_string()).fill_null("")
-        size = enc.length[ids]
+        size = length[ids]
         stop = np.cumsum(size)  # offset of each token's end
-        got = enc.bytes_of[np.repeat(enc.start[ids] - (stop - size), size) + np.arange(int(size.sum()))].tobytes()
+        got = data[np.repeat(start[ids] - (stop - size), size) + np.arange(int(size.sum()))].tobytes()
         ends = np.append(0, stop)[np.cumsum(counts)]
         begins = np.append(0, ends[:-1])
         same = [got[i:j] == t.as_buffer().to_pybytes() for i, j, t in zip(begins.tolist(), ends.tolist(), texts)]

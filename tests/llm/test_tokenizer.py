@@ -86,6 +86,16 @@ def test_spark_nulls_repeats_clash_and_empty(spark):
     assert sorted(r.n_tokens for r in tk.count_tokens(df.select("doc_id", "text")).collect()) == [0, 0, 1, 1, 1, 2]
 
 
+def test_offsets_cut_the_text_into_its_tokens(spark, own):
+    texts = {1: "a µΩ 12.5'll  \n🙂", 2: "", 3: None, 4: "x"}
+    got = {r.doc_id: r for r in tk.encode_with_offsets(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    data, start, length = own.token_bytes()
+    for k, t in texts.items():
+        raw, begins = (t or "").encode(), [0, *got[k].ends[:-1]]
+        assert [raw[i:j] for i, j in zip(begins, got[k].ends)] == [data[start[x] : start[x] + length[x]].tobytes() for x in got[k].ids]
+        assert not raw or got[k].ends[-1] == len(raw)
+
+
 def test_whole_smallest_table(spark, library):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     want = {r.doc_id: library.encode(r.text or "", add_special_tokens=False).ids for r in df.select("doc_id", "text").collect()}
