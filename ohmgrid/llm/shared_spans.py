@@ -19,6 +19,7 @@ whole text; very long texts are processed whole; empty tables give an empty resu
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -181,9 +182,11 @@ def _reveal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([doc.take(own), cls.take(own), pa.array(_hashes(cp, begin, KEY, 1)), pos], ["doc_id", "class", "key", "pos"])
 
 
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, at) to (doc_id, start, h1, h2): each stretch of LENGTH characters that holds a key at one of the
-    positions at, once for equal stretches of a text."""
+def _stretches(batches: Iterator[pa.RecordBatch], every: bool = False) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, at) to (doc_id, place, h1, h2): each stretch of LENGTH characters that holds a key at one of the
+    positions at, once for equal stretches of a text. every: again wherever an equal one begins more than LENGTH behind
+    the one before. place: its first begin, and in the upper half how far behind it the last such begin lies; whatever
+    lies between is covered, so runs and periods are one row for each of their phases."""
     for b in batches:
         doc, lists = b.column(0), b.column(2)
         for i, j, cp, starts, sizes in _parts(b.column(1)):
@@ -203,9 +206,14 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             again = np.zeros(len(s), bool)
             a, c = order[1:], order[:-1]
             again[a] = (text[a] == text[c]) & (h1[a] == h1[c]) & (h2[a] == h2[c])
+            if every:
+                again[a] &= s[a] - s[c] <= LENGTH
+            head = np.flatnonzero(~again[order])
+            last = np.empty(len(s), np.int64)
+            last[order[head]] = s[order[np.append(head[1:], len(s)) - 1]]
             keep = np.flatnonzero(~again)
-            start = (s - starts[text - i])[keep].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([doc.take(pa.array(text[keep])), pa.array(start), pa.array(h1[keep]), pa.array(h2[keep])], ["doc_id", "start", "h1", "h2"])
+            place = (s - starts[text - i] + (last - s << 32))[keep]
+            yield pa.RecordBatch.from_arrays([doc.take(pa.array(text[keep])), pa.array(place), pa.array(h1[keep]), pa.array(h2[keep])], ["doc_id", "place", "h1", "h2"])
 
 
 class SharedSpans:
@@ -223,10 +231,10 @@ class SharedSpans:
         hits = join_dimension(keys, shared, "key").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.array_sort(F.collect_set("pos")).alias("at"))
         self.hits = materialize(hits.select("doc_id", "at"), "hits")
 
-    def stretches(self) -> DataFrame:
-        """(doc_id, start, h1, h2) of the first documents of the classes with a shared key."""
+    def stretches(self, every: bool = False) -> DataFrame:
+        """(doc_id, place, h1, h2) of the first documents of the classes with a shared key; see _stretches()."""
         texts = join_dimension(self.docs, self.hits, "doc_id", row_bytes=1024)
-        return texts.select("doc_id", "text", "at").mapInArrow(_stretches, "doc_id long, start int, h1 long, h2 long")
+        return texts.select("doc_id", "text", "at").mapInArrow(partial(_stretches, every=every), "doc_id long, place long, h1 long, h2 long")
 
     def links(self) -> DataFrame:
         """(a, b), a < b: first documents of two classes whose texts share a span."""
@@ -255,13 +263,17 @@ class SharedSpans:
 
     def spans(self) -> DataFrame:
         """(doc_id, start, length): the longest stretches of each text all of whose parts other documents have too."""
-        w = self.stretches().withColumn("h2", F.shiftright("h2", 32).cast("int"))  # 96 bits tell stretches apart here
+        w = self.stretches(every=True).withColumn("h2", F.shiftright("h2", 32).cast("int"))  # 96 bits tell stretches apart here
         shared = w.groupBy("h1", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a <> b").select("h1", "h2")
-        hit = w.join(shared, ["h1", "h2"], "left_semi").select("doc_id", "start")
+        hit = w.join(shared, ["h1", "h2"], "left_semi").select("doc_id", "place")
+        hit = hit.groupBy("doc_id").agg(F.collect_list("place").alias("places")).select("doc_id", F.explode("places").alias("place"))  # one row a text and task is moved
+        start = F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+        hit = hit.select("doc_id", start.alias("start"), (start + F.shiftright("place", 32).cast("int")).alias("last"))
         at = Window.partitionBy("doc_id").orderBy("start")
-        begin = F.when(F.col("start") - F.lag("start").over(at) <= LENGTH, 0).otherwise(1)
+        before = F.max("last").over(at.rowsBetween(Window.unboundedPreceding, -1))
+        begin = F.when(F.col("start") - before <= LENGTH, 0).otherwise(1)
         island = hit.withColumn("begin", begin).withColumn("island", F.sum("begin").over(at))
-        found = island.groupBy("doc_id", "island").agg(F.min("start").alias("start"), (F.max("start") + LENGTH - F.min("start")).alias("length")).drop("island")
+        found = island.groupBy("doc_id", "island").agg(F.min("start").alias("start"), (F.max("last") + LENGTH - F.min("start")).alias("length")).drop("island")
         own = found.join(self.members.select(F.col("doc_id").alias("doc_id")), "doc_id", "left_anti")
         whole = self.docs.join(self.members.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.lit(0).alias("start"), F.length("text").alias("length")).distinct()
         return own.unionByName(whole)

@@ -82,6 +82,36 @@ def test_spans_and_portions(spark):
     assert {r.doc_id: r.shared_chars for r in got.portions().collect()} == {1: 460, 2: 460, 3: 0}
 
 
+def brute_spans(texts):
+    where = {}
+    for i, t in texts:
+        for k in range(len(t) - ss.LENGTH + 1):
+            where.setdefault(t[k : k + ss.LENGTH], set()).add(i)
+    out = set()
+    for i, t in texts:
+        hit = [k for k in range(len(t) - ss.LENGTH + 1) if len(where[t[k : k + ss.LENGTH]]) > 1]
+        begins = [k for j, k in enumerate(hit) if not j or k - hit[j - 1] > ss.LENGTH]
+        for k, after in zip(begins, [*begins[1:], len(t)]):
+            out.add((i, k, max(x for x in hit if x < after) + ss.LENGTH - k))
+    return out
+
+
+def test_spans_of_repeated_passages_and_runs(spark):
+    rng = random.Random(9)
+    passage, line = text(rng, 240), text(rng, 70) + "\n"
+    texts = [
+        (1, passage + text(rng, 330) + passage + text(rng, 50)), (2, text(rng, 60) + passage),
+        (3, text(rng, 40) + "-" * 500 + text(rng, 300)), (4, text(rng, 90) + "-" * 500),
+        (5, line * 12 + text(rng, 400) + line * 6), (6, text(rng, 130) + line * 9), (7, passage[:150] * 4),
+    ]
+    want = brute_spans(texts)
+    assert {(1, 0, 240), (1, 570, 240), (3, 40, 500), (4, 90, 500)} <= want
+    got = ss.SharedSpans(docs(spark, texts))
+    assert {(r.doc_id, r.start, r.length) for r in got.spans().collect()} == want
+    portions = {r.doc_id: r.shared_chars for r in got.portions().collect()}
+    assert portions == {i: sum(n for d, _, n in want if d == i) for i, _ in texts}
+
+
 def test_boundaries_inside_a_shared_span_agree():
     rng = np.random.default_rng(7)
     for size in (2, 3, 30):
