@@ -305,6 +305,12 @@ def _(t):
 # ---- files as texts
 
 
+def _sampled(files, samples):
+    """(path, content) of the files as a curve tracer writes them: group, header and the sampled rows."""
+    rows = samples.filter("cells IS NOT NULL").groupBy("metadata_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "cells"))), lambda x: x["cells"]), "\n").alias("body"))
+    return files.join(rows, files.id == rows.metadata_id).select(F.col("id").cast("string").alias("path"), F.concat_ws("\n", F.lit("GROUP 1"), "columns", "body").alias("content"))
+
+
 @query("src_curve_csv", r"""
 WITH f AS (SELECT id, string_split(columns, ',') AS h FROM baselines_metadata WHERE regexp_matches(columns, '^[^;|\t]*$') AND NOT contains(columns, '(')), s AS (SELECT metadata_id, row_no, string_split(cells, ',') AS c FROM file_samples),
 x AS (SELECT f.id, s.row_no, unnest(h) AS b, unnest(c) AS v FROM f JOIN s ON s.metadata_id = f.id WHERE len(h) = len(c)),
@@ -314,12 +320,22 @@ z AS (SELECT id, row_no, max(v) FILTER (WHERE b IN ('v_gate', 'vg', 'vgs')) AS v
 SELECT CAST(id AS VARCHAR) AS path, count(*) AS rows, round(sum(v_gate), 6) AS v_gate, round(sum(v_drain), 6) AS v_drain FROM z WHERE n > 0 GROUP BY 1""")
 def _(t):
     f = t("baselines_metadata").filter(F.col("columns").rlike(r"^[^;|\t]*$") & ~F.contains("columns", F.lit("("))).select("id", "columns")
-    rows = t("file_samples").filter("cells IS NOT NULL").groupBy("metadata_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "cells"))), lambda x: x["cells"]), "\n").alias("body"))
-    texts = f.join(rows, f.id == rows.metadata_id).select(F.col("id").cast("string").alias("path"), F.concat_ws("\n", F.lit("GROUP 1"), "columns", "body").alias("content"))
-    p = text_files.curve_csv(texts)
+    p = text_files.curve_csv(_sampled(f, t("file_samples")))
     return p.groupBy("path").agg(F.count("*").alias("rows"), r(F.sum("v_gate")).alias("v_gate"), r(F.sum("v_drain")).alias("v_drain"))
 
 
+@query("src_curve_csv_all", r"""
+WITH f AS (SELECT id, CASE WHEN contains(columns, ';') THEN ';' WHEN contains(columns, '|') THEN '|' WHEN contains(columns, chr(9)) THEN chr(9) ELSE ',' END AS sep, columns FROM baselines_metadata WHERE columns IS NOT NULL),
+x AS (SELECT f.id, s.row_no, unnest(string_split(columns, sep)) AS b, unnest(string_split(cells, sep)) AS v FROM f JOIN file_samples s ON s.metadata_id = f.id WHERE len(string_split(columns, sep)) = len(string_split(cells, sep))),
+y AS (SELECT id, row_no, coalesce(try_cast(nullif(regexp_extract(b, '\(([0-9]+)\)', 1), '') AS INTEGER), 1) AS step, regexp_replace(lower(trim(regexp_replace(b, '\([^)]*\)|\[[^\]]*\]', '', 'g'))), '\s+', '_', 'g') AS b, try_cast(trim(v) AS DOUBLE) AS v FROM x),
+z AS (SELECT id, row_no, step, max(v) FILTER (WHERE b IN ('v_gate', 'vg', 'vgs')) AS v_gate, max(v) FILTER (WHERE b IN ('v_drain', 'vd', 'vds')) AS v_drain, max(v) FILTER (WHERE b IN ('i_drain', 'id', 'ids')) AS i_drain,
+  count(v) FILTER (WHERE b IN ('v_gate', 'vg', 'vgs', 'i_gate', 'ig', 'igs', 'v_drain', 'vd', 'vds', 'i_drain', 'id', 'ids', 'rds', 'bv', 'time', 't')) AS n FROM y WHERE NOT isnan(coalesce(v, 0)) GROUP BY ALL)
+SELECT CAST(id AS VARCHAR) AS path, step, count(*) AS rows, round(sum(v_gate), 6) AS v_gate, round(sum(v_drain), 6) AS v_drain, round(sum(i_drain), 6) AS i_drain FROM z WHERE n > 0 GROUP BY ALL""")
+def _(t):
+    p = text_files.curve_csv(_sampled(t("baselines_metadata").filter("columns IS NOT NULL"), t("file_samples")), separator=None)
+    return p.groupBy("path", "step").agg(F.count("*").alias("rows"), r(F.sum("v_gate")).alias("v_gate"), r(F.sum("v_drain")).alias("v_drain"), r(F.sum("i_drain")).alias("i_drain"))
+
+
 @query("src_script_parameters", r"""
 SELECT doc_id, try_cast(nullif(regexp_extract(text, '(?i)\.limiti\s*=\s*([-+0-9.eE]+)', 1), '') AS DOUBLE) AS compliance, try_cast(nullif(regexp_extract(text, '(?i)\.nplc\s*=\s*([-+0-9.eE]+)', 1), '') AS DOUBLE) AS plc,
   try_cast(nullif(regexp_extract(text, '(?i)\bdelay\(\s*([-+0-9.eE]+)\s*\)', 1), '') AS DOUBLE) AS delay FROM documents WHERE source = 'tsp_script' AND text IS NOT NULL""")

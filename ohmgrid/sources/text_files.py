@@ -32,12 +32,17 @@ def _number(c: Column) -> Column:
     return F.when(~F.isnan(v), v)
 
 
-def _cells(files: DataFrame, header: Column, body: Column, separator: str) -> DataFrame:
+def _separator(header: Column) -> Column:
+    """What splits a header, as a pattern: `;`, `|` or a tab where there is one, else the comma."""
+    return F.when(F.contains(header, F.lit(";")), ";").when(F.contains(header, F.lit("|")), "[|]").when(F.contains(header, F.lit("\t")), "\t").otherwise(",")
+
+
+def _cells(files: DataFrame, header: Column, body: Column, separator: str | Column) -> DataFrame:
     """(path, row_no, base, step, value) of every cell of the rows that fit the header."""
     base = lambda h: F.regexp_replace(F.lower(F.trim(F.regexp_replace(h, r"\([^)]*\)|\[[^\]]*\]", ""))), r"\s+", "_")
     step = lambda h: F.coalesce(F.regexp_extract(h, r"\(([0-9]+)\)", 1).try_cast("int"), F.lit(1))
     heads = F.transform(F.split(header, separator), lambda h: F.struct(base(h).alias("base"), step(h).alias("step")))
-    rows = files.select("path", heads.alias("heads"), body.alias("body")).select("path", "heads", F.posexplode("body").alias("row_no", "line")).withColumn("parts", F.split("line", separator)).filter("size(parts) = size(heads)")
+    rows = files.select("path", heads.alias("heads"), body.alias("body"), (F.lit(separator) if isinstance(separator, str) else separator).alias("by")).select("path", "heads", "by", F.posexplode("body").alias("row_no", "line")).withColumn("parts", F.split("line", F.col("by"))).filter("size(parts) = size(heads)")
     flat = rows.select("path", "row_no", F.explode(F.arrays_zip("heads", "parts")).alias("z"))
     return flat.select("path", "row_no", F.col("z.heads.base").alias("base"), F.col("z.heads.step").alias("step"), _number(F.col("z.parts")).alias("value"))
 
@@ -52,11 +57,13 @@ def _wide(cells: DataFrame) -> DataFrame:
     return out.filter(F.coalesce(*channels).isNotNull())
 
 
-def curve_csv(files: DataFrame, separator: str = ",") -> DataFrame:
-    """Curve-tracer files: an optional first line `GROUP ...`, a header (`V_Drain(1),...` is unpivoted by step), data."""
+def curve_csv(files: DataFrame, separator: str | None = ",") -> DataFrame:
+    """Curve-tracer files: an optional first line `GROUP ...`, a header (`V_Drain(1),...` is unpivoted by step), data.
+    separator: None finds each file's own in its header."""
     skip = F.when(F.upper(F.get("l", F.lit(0))).startswith("GROUP"), 1).otherwise(0)
     f = files.withColumn("l", _lines()).withColumn("s", skip).filter("size(l) > s")
-    return _wide(_cells(f, F.get("l", F.col("s")), F.slice("l", F.col("s") + 2, F.greatest(F.size("l") - F.col("s") - 1, F.lit(0))), separator))
+    header = F.get("l", F.col("s"))
+    return _wide(_cells(f, header, F.slice("l", F.col("s") + 2, F.greatest(F.size("l") - F.col("s") - 1, F.lit(0))), _separator(header) if separator is None else separator))
 
 
 def two_header_csv(files: DataFrame, separator: str = ",") -> DataFrame:

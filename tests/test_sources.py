@@ -1,7 +1,12 @@
 """Parsers, listings, sinks and binary files on small files."""
 
+from pyspark.sql import functions as F
+
+from ohmgrid.plans import laboratory
 from ohmgrid.sources import binary_files, listing, sinks, text_files
 
+DATA = "/root/testdata/sf0.001"
+
 
 def texts(spark, *contents):
     return spark.createDataFrame([(f"f{i}", c) for i, c in enumerate(contents)], "path string, content string")
@@ -13,6 +18,17 @@ def test_curve_csv(spark):
     assert rows == {("f0", 0, 1): (None, 1.0, 2.0), ("f0", 0, 2): (None, 3.0, 4.0), ("f0", 2, 1): (None, None, 1e-3), ("f1", 0, 1): (5.0, None, 6.0)}
 
 
+def test_curve_csv_of_every_separator(spark):
+    files = ["V_Gate(1){0}I_Drain(1) [A]{0}V_Gate(2){0}I_Drain(2) [A]\n1{0}2{0}3{0}4\n{0}{0}5{0}\n".format(by) for by in (",", ";", "|", "\t")]
+    got = text_files.curve_csv(texts(spark, *files), separator=None).collect()
+    rows = {(r.path, r.row_no, r.step): (r.v_gate, r.i_drain) for r in got}
+    assert rows == {(f"f{i}", *k): v for i in range(4) for k, v in {(0, 1): (1.0, 2.0), (0, 2): (3.0, 4.0), (1, 2): (5.0, None)}.items()}
+    files = laboratory.query.queries["src_curve_csv_all"](spark, DATA)
+    heads = spark.read.parquet(f"{DATA}/baselines_metadata.parquet").select(F.col("id").cast("string").alias("path"), "columns")
+    seen = files.join(heads, "path").select("step", F.regexp_extract("columns", "[;|\t]", 0).alias("by")).distinct().collect()
+    assert {r.by for r in seen} >= {"", "|"} and max(r.step for r in seen) > 1
+
+
 def test_other_layouts(spark):
     two = text_files.two_header_csv(texts(spark, "CH1,CH2\nV_Gate,I_Gate\n1,2\n3,4\n")).collect()
     assert sorted((r.v_gate, r.i_gate) for r in two) == [(1.0, 2.0), (3.0, 4.0)]
