@@ -222,7 +222,8 @@ m AS (SELECT d.id, r.part_number, row_number() OVER (PARTITION BY d.id ORDER BY
 SELECT d.id, m.part_number FROM d LEFT JOIN m ON d.id = m.id AND m.n = 1""")
 def _(t):
     d = t("baselines_metadata").select("id", "device_id", F.coalesce("data_source", F.lit("baselines")).alias("source"))
-    return joins.by_rules(d, t("device_mapping_rules"), "device_id", "source", "part_number").select("id", "part_number")
+    rules = t("device_mapping_rules").withColumn("scope", F.when(F.col("scope") == "sc", "sc_ruggedness").otherwise(F.col("scope")))  # the only scope not named as its data_source
+    return joins.by_rules(d, rules, "device_id", "source", "part_number").select("id", "part_number")
 
 
 @query("join_fallback", """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ohmgrid.functions import intervals, parsing, physics
 from ohmgrid.operators import bounds, cleaning, dose, donors, events, joins, parameters, series, statistics
+from ohmgrid.plans import relational
 
 
 def df(spark, schema, *rows):
@@ -44,6 +45,17 @@ def test_rules_follow_priority_length_and_scope(spark):
     assert rows(got.select("t", "s", "part")) == sorted([("xABCx", "s", "long"), ("ab", None, "short"), ("Z9", "s", "regex"), ("Z9", "q", None), (None, "s", None)], key=str)
 
 
+def test_rules_of_scope_sc_are_for_sc_ruggedness(spark, tmp_path):
+    tables = {
+        "baselines_metadata": df(spark, "id int, device_id string, data_source string", (1, "xC1y", "sc_ruggedness"), (2, "xC1y", "baselines"), (3, "xC1y", None)),
+        "device_mapping_rules": df(spark, "id int, pattern string, pattern_type string, scope string, priority int, part_number string", (1, "c1", "substring", "sc", 9, "STRONG"), (2, "x", "substring", "all", 1, "WEAK")),
+    }
+    for name, frame in tables.items():
+        frame.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = relational.query.queries["join_rules"](spark, str(tmp_path)).collect()
+    assert {r.id: r.part_number for r in got} == {1: "STRONG", 2: "WEAK", 3: "WEAK"}
+
+
 def test_series(spark):
     d = df(spark, "k int, t double, v double", (1, 0.0, 1.0), (1, 1.0, 3.0), (1, 5.0, None), (1, None, 7.0), (2, 0.0, 4.0))
     assert rows(series.trapezoid(d, ["k"], ["t"], "t", "v")) == [(1, 2.0, 1.0, 1), (2, None, None, 0)]
