@@ -122,12 +122,6 @@ def anchors(cp: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.n
     at, text, h = at[inner], text[inner], h[inner]
     if not len(at):
         return at, text
-    big = np.full(1, np.iinfo(np.uint32).max, np.uint32)
-    before, after = np.concatenate([big, h[:-1]]), np.concatenate([h[1:], big])
-    before[1:][text[1:] != text[:-1]] = big[0]
-    after[:-1][text[1:] != text[:-1]] = big[0]
-    least = (h <= before) & (h <= after)
-    at, text, h = at[least], text[least], h[least]
     low, high = starts[text] - 1, (starts + sizes)[text]
     left, right = _nearest_smaller(h, at, low, high)
     own = at - starts[text]

@@ -128,6 +128,23 @@ def test_boundaries_inside_a_shared_span_agree():
         assert found[0] == found[1]
 
 
+def test_what_lies_outside_a_span_hides_no_key(monkeypatch):
+    rng = np.random.default_rng(10)
+    n, size, low = 50_000, 400, 100 + ss.CONTEXT  # the spans begin at 100
+    at = np.cumsum(np.concatenate([np.zeros((n, 1), int), rng.integers(1, 2 * ss.ROUNDS[-1] + 1, (n, size))], 1), 1)
+    there = at < size
+    own = (np.append(at[:, 1:], at[:, -1:] + 1, 1) >= low) & (at <= low + ss.WINDOW)  # symbols beside a boundary of the span
+    names = rng.integers(0, 1 << 32, (2, *at.shape), np.uint32)
+    names[1][own] = names[0][own]
+    starts, found = np.arange(n) * size, []
+    for name in names:
+        monkeypatch.setattr(ss, "boundaries", lambda cp, first, name=name: ((at + starts[:, None])[there], name[there]))
+        kept, _ = ss.anchors(np.zeros(n * size, np.uint32), starts, np.full(n, size))
+        inside = (kept % size >= low) & (kept % size <= low + ss.WINDOW)
+        found.append(kept[inside])
+    assert len(np.unique(np.intersect1d(*found) // size)) == n
+
+
 def test_very_long_text(spark, monkeypatch):
     rng = random.Random(8)
     big = text(rng, 30_000)
