@@ -21,14 +21,21 @@ def p1_versions(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.versions(table(spark, d, "baselines_metadata"), table(spark, d, "file_samples"), table(spark, d, "header_names"))
 
 
+def _ratings(spark: SparkSession, d: str) -> DataFrame:
+    return units.ratings(table(spark, d, "device_library"), "device_library", "id").unionByName(units.ratings(table(spark, d, "library_imports"), "library_imports", "import_id"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    both = units.ratings(table(spark, d, "device_library"), "device_library", "id").unionByName(units.ratings(table(spark, d, "library_imports"), "library_imports", "import_id"))
-    return units.in_base_units(both).select("table_name", "row_id", "field_name", "value_base")
+    return units.in_base_units(_ratings(spark, d)).filter("value_base IS NOT NULL").select("table_name", "row_id", "field_name", "value_base")
 
 
 def p2_aliases(spark: SparkSession, d: str) -> DataFrame:
-    both = units.ratings(table(spark, d, "device_library"), "device_library", "id").unionByName(units.ratings(table(spark, d, "library_imports"), "library_imports", "import_id"))
-    return units.alias_dictionary(units.spellings(both))
+    return units.alias_dictionary(units.spellings(_ratings(spark, d))).select("field_name", "spelling", "factor")
+
+
+def p2_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Ratings whose unit fits no known name: they have no value and are not guessed."""
+    return units.unmatched(_ratings(spark, d))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -85,23 +92,29 @@ r AS (SELECT experiment, measurement_category, measured_on, field_name, 'added'
 SELECT experiment, measurement_category, CAST(measured_on AS VARCHAR) AS measured_on, field_name, change FROM r
 """
 
-#: Plain lists of spellings stand in for the fuzzy dictionary.
-P2_SQL = r"""
+#: The specification's grammar: an optional scale, then the quantity's unit.
+P2_PARSED = r"""
 WITH u AS (SELECT 'device_library' AS table_name, CAST(id AS BIGINT) AS row_id, notes, unnest(['voltage_rating', 'rdson_mohm', 'current_rating_a']) AS field_name, unnest([voltage_rating, rdson_mohm, current_rating_a]) AS raw FROM device_library
   UNION ALL SELECT 'library_imports', import_id, notes, unnest(['voltage_rating', 'rdson_mohm', 'current_rating_a']), unnest([voltage_rating, rdson_mohm, current_rating_a]) FROM library_imports),
 a AS (SELECT *, trim(regexp_replace(raw, '(?i)\s*(@|\(|\bat\b).*$', '')) AS txt FROM u),
 b AS (SELECT *, regexp_extract(txt, '^[^0-9]*?([+-]?[0-9][0-9 .,]*(?:[eE][+-]?[0-9]+)?)', 1) AS num, lower(regexp_extract(txt, '^[^0-9]*?[+-]?[0-9][0-9 .,]*(?:[eE][+-]?[0-9]+)?\s*(\S*)', 1)) AS unit,
   lower(rtrim(CASE field_name WHEN 'voltage_rating' THEN regexp_extract(notes, '(?i)voltage[^;,/]*?\b(?:in|as)\s+([^\s;,/]+)', 1) WHEN 'rdson_mohm' THEN regexp_extract(notes, '(?i)(?:on-resistance|rds\(on\))[^;,/]*?\b(?:in|as)\s+([^\s;,/]+)', 1)
     ELSE regexp_extract(notes, '(?i)(?:current|\bif\b)[^;,/]*?\b(?:in|as)\s+([^\s;,/]+)', 1) END, '.')) AS said FROM a),
-c AS (SELECT *, try_cast(replace(regexp_replace(regexp_replace(regexp_replace(num, ' ', '', 'g'), ',([0-9]{3})(,|[.eE]|$)', '\1\2', 'g'), ',([0-9]{3})([.eE]|$)', '\1\2', 'g'), ',', '.') AS DOUBLE) AS v FROM b),
-d AS (SELECT *, CASE WHEN field_name = 'voltage_rating' THEN CASE WHEN x IN ('v', 'vdc', 'volts') THEN 1e3 WHEN x IN ('kv', 'kilovolts') THEN 1e6 WHEN x IN ('mv', 'millivolts') THEN 1 END
-    WHEN field_name = 'rdson_mohm' THEN CASE WHEN x IN ('mohm', 'milliohm', 'mω') THEN 1e3 WHEN x IN ('ohm', 'ohms', 'ω', 'r') THEN 1e6 WHEN x IN ('uohm', 'µω', 'micro-ohm') THEN 1 END
-    ELSE CASE WHEN x IN ('a', 'adc', 'amps') THEN 1e3 WHEN x IN ('ka', 'kiloamperes') THEN 1e6 WHEN x IN ('ma', 'milliamps') THEN 1 END END AS factor FROM (SELECT *, coalesce(nullif(unit, ''), said) AS x FROM c))
-SELECT table_name, row_id, field_name, CAST(round(v * coalesce(factor, 1e3)) AS BIGINT) AS value_base FROM d WHERE v IS NOT NULL
+c AS (SELECT *, try_cast(replace(regexp_replace(regexp_replace(regexp_replace(num, ' ', '', 'g'), ',([0-9]{3})(,|[.eE]|$)', '\1\2', 'g'), ',([0-9]{3})([.eE]|$)', '\1\2', 'g'), ',', '.') AS DOUBLE) AS v,
+  coalesce(nullif(unit, ''), nullif(said, '')) AS spelling, replace(replace(replace(replace(coalesce(nullif(unit, ''), nullif(said, '')), 'µ', 'u'), 'μ', 'u'), 'ω', 'ohm'), '-', '') AS x FROM b),
+g AS (SELECT *, CASE field_name WHEN 'voltage_rating' THEN '^(k|kilo|m|milli|u|micro|)(v|vdc|volts?)$' WHEN 'rdson_mohm' THEN '^(k|kilo|m|milli|u|micro|)(ohms?|r)$' ELSE '^(k|kilo|m|milli|u|micro|)(a|adc|amps?|amperes?)$' END AS rule FROM c),
+d AS (SELECT *, CASE WHEN x IS NULL THEN CASE field_name WHEN 'rdson_mohm' THEN 1e-3 ELSE 1 END WHEN regexp_matches(x, rule) THEN CASE regexp_extract(x, rule, 1) WHEN '' THEN 1 WHEN 'k' THEN 1e3 WHEN 'kilo' THEN 1e3 WHEN 'm' THEN 1e-3 WHEN 'milli' THEN 1e-3 ELSE 1e-6 END END
+  * CASE field_name WHEN 'rdson_mohm' THEN 1e6 ELSE 1e3 END AS factor FROM g)
+"""
+P2_SQL = P2_PARSED + "SELECT table_name, row_id, field_name, CAST(round(v * factor) AS BIGINT) AS value_base FROM d WHERE v IS NOT NULL AND factor IS NOT NULL"
+P2_UNMATCHED_SQL = P2_PARSED + "SELECT table_name, row_id, field_name, raw, spelling FROM d WHERE v IS NOT NULL AND factor IS NULL"
+P2_ALIASES_SQL = P2_PARSED.replace("FROM g)", "FROM g), y AS (SELECT field_name, rule, unnest([unit, said]) AS spelling FROM g WHERE v IS NOT NULL), z AS (SELECT DISTINCT field_name, rule, replace(replace(replace(spelling, 'µ', 'u'), 'μ', 'u'), 'ω', 'ohm') AS spelling FROM y WHERE spelling <> '')") + """
+SELECT field_name, spelling, CASE regexp_extract(replace(spelling, '-', ''), rule, 1) WHEN '' THEN 1 WHEN 'k' THEN 1e3 WHEN 'kilo' THEN 1e3 WHEN 'm' THEN 1e-3 WHEN 'milli' THEN 1e-3 ELSE 1e-6 END * CASE field_name WHEN 'rdson_mohm' THEN 1e6 ELSE 1e3 END AS factor
+FROM z WHERE regexp_matches(replace(spelling, '-', ''), rule)
 """
 
 QUERIES = {
-    "p1_found": p1_found, "p1_table": p1_table, "p1_versions": p1_versions, "p2_found": p2_found, "p2_aliases": p2_aliases,
+    "p1_found": p1_found, "p1_table": p1_table, "p1_versions": p1_versions, "p2_found": p2_found, "p2_aliases": p2_aliases, "p2_unmatched": p2_unmatched,
     "p5_found": p5_found, "p5_by_file": p5_by_file, "p7_found": p7_found, "p7_grid": p7_grid,
 }
-SQL = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p7_found": P7_SQL}
+SQL = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_aliases": P2_ALIASES_SQL, "p2_unmatched": P2_UNMATCHED_SQL, "p7_found": P7_SQL}

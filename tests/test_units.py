@@ -35,10 +35,40 @@ def test_notes_hold_for_bare_numbers_only(spark):
     assert base(spark, "1200", "80", "20", "Vth shift seen at 175 C, needs new 20 A fuse.") == (1_200_000, 80_000, 20_000)
 
 
-def test_distance_keeps_scales_apart():
-    assert units.weighted_distance("volts", "volt") < units.NEAR < units.weighted_distance("mv", "v")
-    assert units.weighted_distance("micro-ohm", "microohm") < units.NEAR < units.weighted_distance("milliohm", "kiloohm")
-    assert units.weighted_distance("kv", "mv") > units.NEAR
+def aliases(spark, field, spelled):
+    found = spark.createDataFrame([(field, x) for x in spelled], "field_name string, spelling string")
+    return {r.spelling: r.factor for r in units.alias_dictionary(found).collect()}
+
+
+def edits(name):
+    """name with one letter dropped, changed (not the first), doubled, or swapped with the next."""
+    n = range(len(name))
+    return {name[:i] + name[i + 1 :] for i in n} | {name[:i] + "x" + name[i + 1 :] for i in n[1:]} | {name[:i] + name[i] + name[i:] for i in n[1:]} | {name[:i] + name[i + 1] + name[i] + name[i + 2 :] for i in n[:-1]}
+
+
+@pytest.mark.parametrize("field", units.FIELDS)
+def test_misspelled_names(spark, field):
+    own = {n: x for f, n, x in units.UNITS if f == field}
+    planted = {e: x for n, x in own.items() if len(n) >= 5 for e in edits(n) if e not in own}
+    got = aliases(spark, field, {*planted, *own})
+    assert {n: got.get(n) for n in own} == own
+    wrong = {e: (got[e], x) for e, x in planted.items() if e in got and got[e] != x}
+    missed = {e for e in planted if e not in got}
+    assert not wrong and all(len(e) <= 7 for e in missed), (wrong, missed)  # short ones between two scales are refused
+
+
+def test_scales_never_cross(spark):
+    assert aliases(spark, "voltage_rating", ["nanovolt", "megavolt", "nvolt", "gv", "furlong", "killivolt", "picovolt"]) == {}
+    assert aliases(spark, "rdson_mohm", ["nohm", "gohm", "megaohm"]) == {}
+    assert aliases(spark, "voltage_rating", ["milivolt", "mikrovolt", "kvolts", "vdc"]) == {"milivolt": 1.0, "mikrovolt": 1e-3, "kvolts": 1e6, "vdc": 1e3}
+
+
+def test_unknown_units_are_reported(spark):
+    assert base(spark, "1200 milivolt", "3 furlong", "20 milliampre") == (1200, None, 20)
+    assert base(spark, "1200 max", "80", "20", "current in parsec") == (1_200_000, 80_000, None)
+    df = spark.createDataFrame([(1, "1200 milivolt", "3 furlong", "20", "current in parsec", "", "")], SCHEMA)
+    got = {(r.field_name, r.spelling) for r in units.unmatched(units.ratings(df, "t", "id")).collect()}
+    assert got == {("rdson_mohm", "furlong"), ("current_rating_a", "parsec")}
 
 
 def test_repeats_and_empty(spark):
