@@ -10,13 +10,14 @@ from ohmgrid.tables import table
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return batch_dedup.repeats(batch_dedup.all_links(table(spark, d, "baselines_metadata")))
+    """All ingest batches one after another, each against the store that the earlier ones left."""
+    return batch_dedup.accept_all(table(spark, d, "baselines_metadata")).repeats()
 
 
 def p3_batches(spark: SparkSession, d: str) -> DataFrame:
-    """Rows and repeats of each ingest batch, the three newest batches held one after another against the history."""
+    """Rows and repeats of each ingest batch."""
     files = table(spark, d, "baselines_metadata")
-    again = batch_dedup.repeats(batch_dedup.all_links(files, newest=3)).select(F.col("id_b").alias("id"), F.lit(1).alias("again"))
+    again = batch_dedup.accept_all(files).repeats().select(F.col("id_b").alias("id"), F.lit(1).alias("again"))
     return files.select("id", "ingest_batch").join(again, "id", "left").groupBy("ingest_batch").agg(F.count("*").alias("files"), F.count("again").alias("repeats"))
 
 
@@ -84,6 +85,8 @@ reach AS (SELECT u, v FROM link UNION SELECT r.u, l.v FROM reach r JOIN link l O
 SELECT min(v) AS id_a, u AS id_b FROM reach WHERE u <> v GROUP BY u HAVING min(v) < u
 """
 
+P3_BATCHES_SQL = P3_SQL.replace("SELECT min(v) AS id_a", ", again AS (SELECT min(v) AS id_a") + ") SELECT ingest_batch, count(*) AS files, count(id_b) AS repeats FROM baselines_metadata LEFT JOIN again ON id = id_b GROUP BY 1"
+
 P4_SQL = r"""
 WITH t AS (SELECT DISTINCT device_id, coalesce(data_source, 'baselines') AS source FROM baselines_metadata WHERE trim(device_id) <> '' AND device_id NOT IN (SELECT part_number FROM device_library)),
 a AS (SELECT device_id, source, regexp_replace(upper(trim(device_id)), '([ _-]*#[ ]*[0-9]+|[ _-]*[(]NO[.]? ?[0-9]+[)]|[ _-]+SAMPLE ?[0-9]+|_S[0-9][0-9]?|[ _-]+DUT ?[0-9]+|[ _-]+DIE ?[0-9]+)\s*$', '') AS s FROM t),
@@ -104,4 +107,4 @@ g AS (SELECT h FROM w GROUP BY 1 HAVING count(*) > 1), s AS (SELECT w.* FROM w J
 SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id
 """
 
-SQL: dict[str, str] = {"p3_found": P3_SQL, "p4_found": P4_SQL, "p10_found": P10_SQL}
+SQL: dict[str, str] = {"p3_found": P3_SQL, "p3_batches": P3_BATCHES_SQL, "p4_found": P4_SQL, "p10_found": P10_SQL}

@@ -7,9 +7,12 @@ SCHEMA = "id int, ingest_batch int, csv_path string, file_hash string, num_point
 PATH = "/srv/lab/Amberfield_ageing_2024_000020/20190124_pre/W05_C38/W05_C38_IdVd_rev_50V_001.csv"
 
 
-def repeats(spark, rows, newest=1):
-    df = spark.createDataFrame([(i, b, p, h, n, "clash", "clash", "clash") for i, b, p, h, n in rows], SCHEMA)
-    return {(r.id_a, r.id_b) for r in bd.repeats(bd.all_links(df, newest)).collect()}
+def frame(spark, rows):
+    return spark.createDataFrame([(i, b, p, h, n, "clash", "clash", "clash") for i, b, p, h, n in rows], SCHEMA)
+
+
+def repeats(spark, rows):
+    return {(r.id_a, r.id_b) for r in bd.accept_all(frame(spark, rows)).repeats().collect()}
 
 
 def test_spellings_of_one_path(spark):
@@ -40,8 +43,45 @@ def test_no_evidence(spark):
 
 
 def test_arrivals_make_no_difference(spark):
-    rows = [(i, i % 7, PATH.replace("_001", f"_{i % 11:03d}").replace("Amber", "Ambre" if i % 2 else "Amber"), f"{i % 13:032x}" if i % 3 == 0 else None, 1) for i in range(1, 120)]
-    assert repeats(spark, rows, 1) == repeats(spark, rows, 5) == repeats(spark, rows, 0)
+    rows = lambda k: [(i, i % k, PATH.replace("_001", f"_{i % 11:03d}").replace("Amber", "Ambre" if i % 2 else "Amber"), f"{i % 13:032x}" if i % 3 == 0 else None, 1) for i in range(1, 120)]
+    want = {(1, i) for i in range(2, 120)}
+    assert repeats(spark, rows(1)) == want
+    assert repeats(spark, rows(5)) == want
+
+
+def test_components_that_meet_later(spark, monkeypatch):
+    """Two files turn out to be one when a third row has the path of one and the hash of the other; a late row is first."""
+    h, other = "1b7675f28c6b6d4476399ad82a2b520c", PATH.replace("W05_C38_IdVd", "W09_C38_IdVd")
+    rows = [(10, 0, PATH, None, 5), (11, 1, PATH, None, 5), (12, 1, other, h, 5), (13, 2, other, None, 5), (14, 3, PATH, h, 5), (5, 4, PATH.upper(), None, 5)]
+    want = {(5, i) for i in range(10, 15)}
+    assert repeats(spark, rows) == want
+    monkeypatch.setattr(bd, "LOCAL_LINKS", -1)  # the form for large batches
+    assert repeats(spark, rows) == want
+
+
+def test_store_is_appended_to_and_opened_again(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(bd, "MERGE", 3)
+    path = f"file://{tmp_path}/store"
+    rows = [(i, i % 8, PATH.replace("_001", f"_{i % 40:03d}"), None, 1) for i in range(1, 121)]
+    store = bd.accept_all(frame(spark, [r for r in rows if r[1] < 5]), path)
+    assert sum(1 for n in store.loads["paths"] if len(set(n.split("-"))) == 1) < 3
+    before = {tuple(r) for r in store.read("paths").collect()}
+    again = bd.Store(spark, path)
+    assert again.loads == store.loads
+    for k in (5, 6, 7):
+        bd.accept(bd.keyed(frame(spark, [r for r in rows if r[1] == k])), again)
+    assert before <= {tuple(r) for r in again.read("paths").collect()}
+    assert again.read("paths").count() == 40
+    assert {(r.id_a, r.id_b) for r in again.repeats().collect()} == {((i - 1) % 40 + 1, i) for i in range(41, 121)}
+
+
+def test_touched_ranges_only(spark):
+    """A batch reads the stored rows of its own days."""
+    days = [(i, 0, PATH.replace("20190124", f"2019{m:02d}24"), None, 5) for i, m in enumerate(range(1, 13), 1)]
+    store = bd.accept_all(frame(spark, days))
+    own = bd.pivoted(bd.keyed(frame(spark, [(99, 1, PATH, None, 5)]))).first()
+    assert store.near([(own.d0, own.d0)]).count() == 1
+    assert "PushedFilters: [IsNotNull(d0)" in store.near([(own.d0, own.d0)])._jdf.queryExecution().toString()
 
 
 def test_hot_group(spark):
