@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -126,6 +127,7 @@ class Store:
         self._at = jvm.org.apache.hadoop.fs.Path
         self._fs = self._at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self.loads = {t: self._listed(t) for t in TABLES}
+        self.pool = ThreadPoolExecutor(len(TABLES))  # the writes of a batch don't wait for each other
 
     def _listed(self, table: str) -> list[str]:
         """Names of the complete loads, `first-last`, without those that a merged one stands for."""
@@ -148,10 +150,11 @@ class Store:
         paths = [f"{self.path}/{table}/{n}" for n in self.loads[table]]
         return self.spark.read.schema(TABLES[table]).parquet(*paths) if paths else self.spark.createDataFrame([], TABLES[table])
 
-    def append(self, table: str, rows: DataFrame) -> None:
+    def append(self, table: str, rows: DataFrame, few: bool = False) -> None:
+        """few: the rows are known to fit one task."""
         own = self.loads[table]
         k = int(own[-1].split("-")[1]) + 1 if own else 0
-        self._write(table, rows, k, k)
+        self._write(table, rows, k, k, few)
         own.append(f"{k:06d}-{k:06d}")
         small = [n for n in own if len(set(n.split("-"))) == 1]
         if len(small) >= MERGE:
@@ -159,10 +162,12 @@ class Store:
             self._write(table, self.spark.read.schema(TABLES[table]).parquet(*(f"{self.path}/{table}/{n}" for n in small)), first, last)
             self.loads[table] = [n for n in own if n not in small] + [f"{first:06d}-{last:06d}"]
 
-    def _write(self, table: str, rows: DataFrame, first: int, last: int) -> None:
+    def _write(self, table: str, rows: DataFrame, first: int, last: int, few: bool = False) -> None:
         order = {"paths": "d0", "hashes": "hash", "roots": "node"}[table]
         columns = [c.split()[0] for c in TABLES[table].split(", ")]
-        rows.select(*columns).repartitionByRange(order).sortWithinPartitions(order).write.mode("overwrite").parquet(f"{self.path}/{table}/{first:06d}-{last:06d}")
+        rows = rows.select(*columns)
+        rows = rows.coalesce(1) if few else rows.repartitionByRange(order)
+        rows.sortWithinPartitions(order).write.mode("overwrite").parquet(f"{self.path}/{table}/{first:06d}-{last:06d}")
 
     def near(self, ranges: list[tuple[int, int]]) -> DataFrame:
         """The stored paths whose first distance lies in one of the ranges, each widened by RADIUS."""
@@ -212,39 +217,37 @@ def accept(rows: DataFrame, store: Store) -> None:
     for x in links[1:]:
         every = every.unionByName(x)
     every = materialize(every, "links")
-    store_hashes = store.read("hashes")
-    edges = every.select("u", "v").join(_roots(store, every.select(F.col("v").alias("node")), few), F.col("v") == F.col("node"), "left").select("u", F.coalesce("root", "v").alias("v"))
-    own_roots = _roots(store, rows.select(F.col("id").alias("node")), few).select(F.col("node").alias("u"), F.col("root").alias("v"))  # a row that arrives again
-    edges = edges.unionByName(own_roots)
-    if (n := every.count()) <= LOCAL_LINKS:
-        found = edges.coalesce(1).mapInPandas(_unite, "node int, root int") if n else None
+    ids = every.select(F.col("v").alias("node")).unionByName(rows.select(F.col("id").alias("node"))).distinct()  # a row may arrive again
+    known_roots = store.read("roots").join(dim(ids), "node", "left_semi").select(F.col("node").alias("u"), F.col("root").alias("v"))
+    edges = every.select("u", "v").unionByName(known_roots)
+    n = every.count()
+    if n <= LOCAL_LINKS and few:
+        found = edges.coalesce(1).mapInPandas(_unite, "node int, root int")
     else:
         found = components(edges).select(F.col("node").cast("int"), F.col("root").cast("int"))
-    if found is not None:
-        found = materialize(found.filter("node <> root"), "roots")
-        fallen = store.read("roots").withColumnRenamed("root", "old").join(dim(found.select(F.col("node").alias("old"), "root")), "old").select("node", "root")
-        store.append("roots", found.unionByName(fallen))
+    found = materialize(found.filter("node <> root"), "roots")
+    fallen = store.read("roots").withColumnRenamed("root", "old").join(dim(found.select(F.col("node").alias("old"), "root")), "old").select("node", "root")
+    new_roots = found.unionByName(fallen).join(dim(known_roots.select(F.col("u").alias("node"), F.col("v").alias("root"))), ["node", "root"], "left_anti")
     fresh = own.join(dim(every.filter("same").select(F.col("u").alias("id"))), "id", "left_anti")
-    store.append("paths", fresh)
-    store.append("hashes", hashes.join(store_hashes.select("hash"), "hash", "left_anti"))
+    fresh_hashes = hashes.join(dim(store.read("hashes").join(dim(hashes.select("hash")), "hash", "left_semi").select("hash")), "hash", "left_anti")
+    for done in [store.pool.submit(store.append, t, x, few) for t, x in (("roots", new_roots), ("paths", fresh), ("hashes", fresh_hashes))]:
+        done.result()
 
 
-def _roots(store: Store, nodes: DataFrame, few: bool) -> DataFrame:
-    """(node, root) of those nodes that have one."""
-    wanted = nodes.distinct()
-    return store.read("roots").join(F.broadcast(wanted) if few else wanted, "node", "left_semi").groupBy("node").agg(F.min("root").alias("root"))
-
-
-def arrivals(files: DataFrame) -> Iterator[DataFrame]:
-    """The keyed rows of one ingest batch after another, rows without batch first."""
+def arrivals(files: DataFrame, loads: int | None = None) -> Iterator[DataFrame]:
+    """The keyed rows of one ingest batch after another, rows without batch first; loads: of that many runs of
+    consecutive batches instead, where there are more batches."""
     rows = materialize(keyed(files).withColumn("batch", F.coalesce("batch", F.lit(-1))).repartitionByRange("batch", "id").sortWithinPartitions("batch"), "keyed")
-    for (b,) in rows.select("batch").distinct().orderBy("batch").collect():  # numbers of batches
-        yield rows.filter(F.col("batch") == b)
+    batches = [b for (b,) in rows.select("batch").distinct().orderBy("batch").collect()]  # numbers of batches
+    n = min(loads or len(batches), len(batches))
+    for i in range(n):
+        own = batches[i * len(batches) // n : (i + 1) * len(batches) // n]
+        yield rows.filter(F.col("batch").between(own[0], own[-1]))
 
 
-def accept_all(files: DataFrame, path: str | None = None) -> Store:
-    """A store that has taken every ingest batch of files, each held against all earlier ones."""
+def accept_all(files: DataFrame, path: str | None = None, loads: int | None = None) -> Store:
+    """A store that has taken every ingest batch of files, each (or each load) held against all earlier ones."""
     store = Store(files.sparkSession, path)
-    for rows in arrivals(files):
+    for rows in arrivals(files, loads):
         accept(rows, store)
     return store

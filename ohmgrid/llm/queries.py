@@ -9,15 +9,20 @@ from ohmgrid.llm import batch_dedup, canonical, mixing, quantiles, shared_spans,
 from ohmgrid.tables import table
 
 
+#: Loads in which the queries replay the log of arrivals; the result is the same for any number.
+LOADS = 10
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """All ingest batches one after another, each against the store that the earlier ones left."""
-    return batch_dedup.accept_all(table(spark, d, "baselines_metadata")).repeats()
+    """All ingest batches one after another (more than LOADS: in LOADS runs of batches), each against the store that the
+    earlier ones left."""
+    return batch_dedup.accept_all(table(spark, d, "baselines_metadata"), loads=LOADS).repeats()
 
 
 def p3_batches(spark: SparkSession, d: str) -> DataFrame:
     """Rows and repeats of each ingest batch."""
     files = table(spark, d, "baselines_metadata")
-    again = batch_dedup.accept_all(files).repeats().select(F.col("id_b").alias("id"), F.lit(1).alias("again"))
+    again = batch_dedup.accept_all(files, loads=LOADS).repeats().select(F.col("id_b").alias("id"), F.lit(1).alias("again"))
     return files.select("id", "ingest_batch").join(again, "id", "left").groupBy("ingest_batch").agg(F.count("*").alias("files"), F.count("again").alias("repeats"))
 
 

@@ -11,8 +11,8 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, b, p, h, n, "clash", "clash", "clash") for i, b, p, h, n in rows], SCHEMA)
 
 
-def repeats(spark, rows):
-    return {(r.id_a, r.id_b) for r in bd.accept_all(frame(spark, rows)).repeats().collect()}
+def repeats(spark, rows, loads=None):
+    return {(r.id_a, r.id_b) for r in bd.accept_all(frame(spark, rows), loads=loads).repeats().collect()}
 
 
 def test_spellings_of_one_path(spark):
@@ -47,6 +47,7 @@ def test_arrivals_make_no_difference(spark):
     want = {(1, i) for i in range(2, 120)}
     assert repeats(spark, rows(1)) == want
     assert repeats(spark, rows(5)) == want
+    assert repeats(spark, rows(5), loads=2) == want
 
 
 def test_components_that_meet_later(spark, monkeypatch):
