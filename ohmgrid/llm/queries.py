@@ -75,10 +75,20 @@ def p10_portions(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.SharedSpans(table(spark, d, "documents")).portions()
 
 
+def p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with the class of its exact copies."""
+    return shared_spans.SharedSpans(table(spark, d, "documents")).classes()
+
+
+def p10_sets(spark: SparkSession, d: str) -> DataFrame:
+    """The sets of unlike documents (by the first of their copies) that hold one stretch, each member a row."""
+    return shared_spans.SharedSpans(table(spark, d, "documents")).members()
+
+
 QUERIES = {
     "p3_found": p3_found, "p3_batches": p3_batches, "p4_found": p4_found, "p6_quantiles": p6_quantiles, "p6_digests": p6_digests,
     "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_spans": p10_spans,
-    "p10_portions": p10_portions,
+    "p10_portions": p10_portions, "p10_classes": p10_classes, "p10_sets": p10_sets,
 }
 P3_SQL = r"""
 WITH RECURSIVE f AS (SELECT id, regexp_replace(lower(replace(url_decode(replace(csv_path, '+', '%2B')), chr(92), '/')), '[\s_-]+', '_', 'g') AS p, nullif(regexp_replace(lower(trim(file_hash)), '^md5:', ''), '') AS h FROM baselines_metadata WHERE coalesce(num_points, 1) <> 0),
@@ -112,4 +122,19 @@ g AS (SELECT h FROM w GROUP BY 1 HAVING count(*) > 1), s AS (SELECT w.* FROM w J
 SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id
 """
 
-SQL: dict[str, str] = {"p3_found": P3_SQL, "p3_batches": P3_BATCHES_SQL, "p4_found": P4_SQL, "p10_found": P10_SQL}
+P10_CLASSES_SQL = """
+SELECT DISTINCT doc_id, min(doc_id) OVER w AS class_id, count(*) OVER w AS copies FROM (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 200) WINDOW w AS (PARTITION BY text)
+"""
+#: Begins of shared stretches no more than 200 apart are one stretch; the whole of a text that has an exact copy.
+P10_SPANS_SQL = """
+WITH t AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 200), c AS (SELECT text FROM t GROUP BY 1 HAVING count(*) > 1),
+w AS (SELECT doc_id, k, md5(substring(text, k, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS k FROM t)),
+s AS (SELECT doc_id, k FROM w WHERE h IN (SELECT h FROM w GROUP BY 1 HAVING count(DISTINCT doc_id) > 1) AND doc_id NOT IN (SELECT doc_id FROM t JOIN c USING (text))),
+b AS (SELECT *, CASE WHEN k - lag(k) OVER (PARTITION BY doc_id ORDER BY k) <= 200 THEN 0 ELSE 1 END AS begins FROM s), i AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY k) AS island FROM b),
+r AS (SELECT doc_id, CAST(min(k) - 1 AS INT) AS start, max(k) - min(k) + 200 AS length FROM i GROUP BY doc_id, island UNION ALL SELECT doc_id, 0, length(text) FROM t JOIN c USING (text))
+"""
+P10_PORTIONS_SQL = P10_SPANS_SQL + """, n AS (SELECT doc_id, max(length(text)) AS n_chars FROM t GROUP BY 1), o AS (SELECT doc_id, sum(length) AS shared FROM r GROUP BY 1)
+SELECT doc_id, n_chars, coalesce(shared, 0) AS shared_chars, coalesce(shared, 0) / n_chars AS portion FROM n LEFT JOIN o USING (doc_id)"""
+P10_SPANS_SQL += "SELECT doc_id, start, length FROM r"
+
+SQL: dict[str, str] = {"p3_found": P3_SQL, "p3_batches": P3_BATCHES_SQL, "p4_found": P4_SQL, "p10_found": P10_SQL, "p10_spans": P10_SPANS_SQL, "p10_portions": P10_PORTIONS_SQL, "p10_classes": P10_CLASSES_SQL}

@@ -6,10 +6,15 @@ name, and a left one merges with a right one behind it; short runs of one symbol
 round's bound wait. Whether a boundary stays depends on a bounded stretch around it only, so inside a span that two texts
 share all boundaries further than CONTEXT from its ends are the same in both.
 
-Of the boundaries of the last round those are kept whose neighbouring names are the smallest within WINDOW characters:
-every span of LENGTH characters has one, and the KEY characters around it lie within the span. Equal keys in unlike texts
-reveal candidates; around those, every stretch of LENGTH characters is hashed to 128 bits, and equal ones are the shared
-spans. Exact copies are one class from the start (64-bit hash of the text); classes are expanded at the end.
+Every stretch of LENGTH characters has one key: of the boundaries at least CONTEXT from its ends, which are the same in
+every text that holds the stretch, the one whose neighbouring symbols have the smallest name; the key is the KEY
+characters around it. One boundary is the key of a short range of stretches, so a text has about one key for each three
+dozen characters. A Spark round groups the keys of all texts by their names; only stretches whose own key stands in two
+unlike texts are hashed, to 128 bits, and equal ones are the shared spans. Exact copies are one class from the start (by
+length and a 128-bit digest), represented by its lowest doc_id.
+
+Links are taken from the sets of documents that hold one stretch; sets and classes of more than PAIRS_UPTO members are
+written as pairs with their first member only, and members() and classes() give every member of each set and class.
 
 Defined results: null texts and those shorter than LENGTH share nothing; positions count code points of the text as
 stored; rows without doc_id are left out; a doc_id that occurs again counts as one document; exact copies share their
@@ -27,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ohmgrid.llm.tokenizer import powers
-from ohmgrid.session import join_dimension, materialize
+from ohmgrid.session import BROADCAST_BYTES, join_dimension, materialize
 
 LENGTH = 200
 #: Longest symbol that may still merge, by round.
@@ -38,8 +43,8 @@ WINDOW = LENGTH - 2 * CONTEXT
 KEY = LENGTH - WINDOW
 #: Code points looked at together.
 PART = 1 << 20
-#: Groups of exact copies up to this size are written as all their pairs, larger ones as pairs with their first document.
-COPIES = 50
+#: Sets and groups of copies of up to this many documents are written as all their pairs (half a million at most).
+PAIRS_UPTO = 1000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -108,26 +113,24 @@ def _nearest_smaller(h: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.nd
     return out[0], out[1]
 
 
-def anchors(cp: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Kept boundaries of each text (their positions) with the numbers of their texts."""
+def anchors(cp: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Boundaries that are the key of a stretch, the numbers of their texts, and the first and last begin of the
+    stretches whose key they are."""
     first = np.zeros(len(cp) + 1, bool)
     first[starts] = True
     at, name = boundaries(cp, first)
     text = np.searchsorted(starts, at, "right") - 1
-    inner = np.ones(len(at), bool)
-    inner[0] = False
+    inner = ~first[at]
     h = np.zeros(len(at), np.uint32)
     h[1:] = _mix(name[:-1] * np.uint32(0x9E3779B1) + name[1:])
-    inner &= ~first[at]
     at, text, h = at[inner], text[inner], h[inner]
     if not len(at):
-        return at, text
-    low, high = starts[text] - 1, (starts + sizes)[text]
-    left, right = _nearest_smaller(h, at, low, high)
-    own = at - starts[text]
-    room = (own >= CONTEXT) & (own + KEY - CONTEXT <= sizes[text])
-    keep = room & (right - left > WINDOW)
-    return at[keep], text[keep]
+        return at, text, at, at
+    left, right = _nearest_smaller(h, at, starts[text] - 1, (starts + sizes)[text])
+    low = np.maximum(np.maximum(left + 1, at - WINDOW), starts[text] + CONTEXT)
+    high = np.minimum(np.minimum(right - 1, (starts + sizes)[text] - CONTEXT) - WINDOW, at)
+    keep = low <= high
+    return at[keep], text[keep], low[keep] - CONTEXT, high[keep] - CONTEXT
 
 
 def _hashes(cp: np.ndarray, begin: np.ndarray, size: int, salt: int) -> np.ndarray:
@@ -162,37 +165,35 @@ def _parts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
 
 
 def _reveal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, class, text) to (doc_id, class, key, pos): the key around every kept boundary."""
+    """(doc_id, text) to (doc_id, key, place): every key with its begin and, in the lower 16 bits, how far before it the
+    first and the last stretch begin whose key it is."""
     for b in batches:
-        doc, cls = b.column(0), b.column(1)
-        for i, _, cp, starts, sizes in _parts(b.column(2)):
+        doc = b.column(0)
+        for i, _, cp, starts, sizes in _parts(b.column(1)):
             some = np.flatnonzero(sizes > 0)
             if not len(some):
                 continue
-            at, text = anchors(cp, starts[some], sizes[some])
+            at, text, low, high = anchors(cp, starts[some], sizes[some])
             begin = at - CONTEXT
-            own = pa.array(i + some[text])
-            pos = pa.array((begin - starts[some][text]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([doc.take(own), cls.take(own), pa.array(_hashes(cp, begin, KEY, 1)), pos], ["doc_id", "class", "key", "pos"])
+            place = (begin - starts[some][text] << 16) + (begin - low << 8) + (begin - high)
+            yield pa.RecordBatch.from_arrays([doc.take(pa.array(i + some[text])), pa.array(_hashes(cp, begin, KEY, 1)), pa.array(place)], ["doc_id", "key", "place"])
 
 
 def _stretches(batches: Iterator[pa.RecordBatch], every: bool = False) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, at) to (doc_id, place, h1, h2): each stretch of LENGTH characters that holds a key at one of the
-    positions at, once for equal stretches of a text. every: again wherever an equal one begins more than LENGTH behind
+    """(doc_id, text, at) to (doc_id, place, h1, h2): each stretch of LENGTH characters whose key is one of those at the
+    places at, once for equal stretches of a text. every: again wherever an equal one begins more than LENGTH behind
     the one before. place: its first begin, and in the upper half how far behind it the last such begin lies; whatever
     lies between is covered, so runs and periods are one row for each of their phases."""
     for b in batches:
         doc, lists = b.column(0), b.column(2)
         for i, j, cp, starts, sizes in _parts(b.column(1)):
-            out = []
-            for k in range(j - i):
-                p = lists[i + k].values.to_numpy(zero_copy_only=False).astype(np.int64)
-                edge = np.zeros(sizes[k] + 2, np.int64)
-                np.add.at(edge, np.maximum(p - (LENGTH - KEY), 0), 1)
-                np.add.at(edge, p + 1, -1)
-                s = np.flatnonzero(np.cumsum(edge)[: sizes[k] - LENGTH + 1] > 0) + starts[k]
-                out.append((np.full(len(s), i + k), s))
-            text, s = (np.concatenate(x) for x in zip(*out))
+            own = lists.slice(i, j - i)
+            p = own.flatten().to_numpy(zero_copy_only=False)
+            of = np.repeat(np.arange(j - i), own.value_lengths().to_numpy(zero_copy_only=False))
+            low, high = (p >> 16) - (p >> 8 & 255) + starts[of], (p >> 16) - (p & 255) + starts[of]
+            n = high - low + 1
+            s = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            text = np.repeat(of, n) + i
             if not len(s):
                 continue
             h1, h2 = _hashes(cp, s, LENGTH, 2), _hashes(cp, s, LENGTH, 3)
@@ -210,51 +211,66 @@ def _stretches(batches: Iterator[pa.RecordBatch], every: bool = False) -> Iterat
             yield pa.RecordBatch.from_arrays([doc.take(pa.array(text[keep])), pa.array(place), pa.array(h1[keep]), pa.array(h2[keep])], ["doc_id", "place", "h1", "h2"])
 
 
+def _all_or_star(member: DataFrame, by: str) -> DataFrame:
+    """(a, b) of the members (by, doc_id, first, n) of each group: all pairs up to PAIRS_UPTO, else those with the first."""
+    small = member.filter(f"n <= {PAIRS_UPTO}")
+    every = small.select(by, F.col("doc_id").alias("a")).join(small.select(by, F.col("doc_id").alias("b")), by).filter("a < b").select("a", "b")
+    return every.unionByName(member.filter(f"n > {PAIRS_UPTO} AND doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
+
+
 class SharedSpans:
     """The stages over one table (doc_id, text); each stage is written once into the shared folder."""
 
     def __init__(self, docs: DataFrame):
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(f"doc_id IS NOT NULL AND length(text) >= {LENGTH}")
-        classed = self.docs.select("doc_id", F.xxhash64("text", F.length("text")).alias("class"), "text")
-        keys = materialize(classed.mapInArrow(_reveal, "doc_id long, class long, key long, pos int"), "keys")
-        #: every document of a class with the class's first one
-        members = keys.select("doc_id", "class").distinct()
-        first = members.groupBy("class").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-        self.members = materialize(members.join(first.filter("copies > 1"), "class").select("doc_id", "first", "copies"), "members")
-        shared = materialize(keys.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a <> b").select("key"), "shared")
-        hits = join_dimension(keys, shared, "key").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.array_sort(F.collect_set("pos")).alias("at"))
-        self.hits = materialize(hits.select("doc_id", "at"), "hits")
+        digests = self.docs.select("doc_id", F.length("text").alias("chars"), F.md5("text").alias("digest")).distinct()
+        first = digests.groupBy("chars", "digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+        #: every document of a class of more than one with the class's first one
+        self.copies = materialize(digests.join(first, ["chars", "digest"]).select("doc_id", "digest", "first", "n"), "copies")
+        again = self.copies.filter("doc_id <> first").select("doc_id", "digest")
+        self.own = join_dimension(self.docs.withColumn("digest", F.md5("text")), again, ["doc_id", "digest"], row_bytes=96, how="left_anti").select("doc_id", "text")
+
+    def hits(self) -> DataFrame:
+        """(doc_id, at): the places of those keys of each class's first document that stand in another one as well."""
+        keys = materialize(self.own.mapInArrow(_reveal, "doc_id long, key long, place long"), "keys")
+        shared = materialize(keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a <> b").select("key"), "shared")
+        return materialize(join_dimension(keys, shared, "key").groupBy("doc_id").agg(F.array_sort(F.collect_set("place")).alias("at")), "hits")
 
     def stretches(self, every: bool = False) -> DataFrame:
         """(doc_id, place, h1, h2) of the first documents of the classes with a shared key; see _stretches()."""
-        texts = join_dimension(self.docs, self.hits, "doc_id", row_bytes=1024)
+        hits = self.hits()
+        size = hits.agg(F.sum(F.size("at") * 8 + 64)).first()[0] or 0
+        texts = self.own.join(F.broadcast(hits) if size <= BROADCAST_BYTES else hits, "doc_id")
         return texts.select("doc_id", "text", "at").mapInArrow(partial(_stretches, every=every), "doc_id long, place long, h1 long, h2 long")
 
-    def links(self) -> DataFrame:
-        """(a, b), a < b: first documents of two classes whose texts share a span."""
+    def members(self) -> DataFrame:
+        """(set_id, doc_id, first, n): the first documents of all classes that hold one stretch, once for equal sets."""
         w = self.stretches()
         groups = w.groupBy("h1", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("set"))
         sets = materialize(groups.filter("a <> b").groupBy("a", "b", "n", "set").agg(F.min(F.struct("h1", "h2")).alias("h")), "sets")
-        two = sets.filter("n = 2").select("a", "b")
-        more = sets.filter("n > 2").select("h.h1", "h.h2")
+        two = sets.filter("n = 2").select(F.xxhash64("a", "b").alias("set_id"), F.explode(F.array("a", "b")).alias("doc_id"), F.col("a").alias("first"), "n")
+        more = sets.filter("n > 2").select("h.h1", "h.h2", F.col("a").alias("first"), "n")
         if more.isEmpty():
-            return two.distinct()
-        held = materialize(join_dimension(w.withColumn("h", F.struct("h1", "h2")), more.select(F.struct("h1", "h2").alias("h")), "h").select("h", "doc_id").distinct(), "held")
-        many = held.select("h", F.col("doc_id").alias("a")).join(held.select("h", F.col("doc_id").alias("b")), "h").filter("a < b").select("a", "b")
-        return two.unionByName(many).distinct()
+            return two
+        held = join_dimension(w.select("h1", "h2", "doc_id"), more, ["h1", "h2"]).select(F.xxhash64("h1", "h2").alias("set_id"), "doc_id", "first", "n").distinct()
+        return two.unionByName(held)
 
     def pairs(self) -> DataFrame:
         """(doc_id_a, doc_id_b): two documents that share a span."""
-        m = self.members
-        small = m.filter(f"copies <= {COPIES}")
-        links = self.links()
+        links = _all_or_star(materialize(self.members(), "members"), "set_id").distinct()
+        copies = self.copies.select("first", "doc_id", "n")
         for side in ("a", "b"):
-            links = links.join(small.select(F.col("first").alias(side), F.col("doc_id").alias("copy")), side, "left").withColumn(side, F.coalesce("copy", side)).drop("copy")
-        copies = small.join(small.select("first", F.col("doc_id").alias("b")), "first").filter("doc_id < b").select(F.col("doc_id").alias("a"), "b")
-        star = m.filter(f"copies > {COPIES} AND doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-        every = links.select("a", "b").unionByName(copies).unionByName(star)
+            own = copies.filter(f"n <= {PAIRS_UPTO}").select(F.col("first").alias(side), F.col("doc_id").alias("copy"))
+            links = links.join(own, side, "left").withColumn(side, F.coalesce("copy", side)).drop("copy")
+        every = links.select("a", "b").unionByName(_all_or_star(copies.withColumn("class", F.col("first")), "class"))
         return every.select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b")).filter("doc_id_a <> doc_id_b").distinct()
 
+    def classes(self) -> DataFrame:
+        """(doc_id, class_id, copies): every document with the lowest doc_id of its exact copies and their number."""
+        own = self.docs.select("doc_id", F.md5("text").alias("digest")).distinct()
+        out = own.join(self.copies, ["doc_id", "digest"], "left")
+        return out.select("doc_id", F.coalesce("first", "doc_id").alias("class_id"), F.coalesce("n", F.lit(1)).alias("copies"))
+
     def spans(self) -> DataFrame:
         """(doc_id, start, length): the longest stretches of each text all of whose parts other documents have too."""
         w = self.stretches(every=True).withColumn("h2", F.shiftright("h2", 32).cast("int"))  # 96 bits tell stretches apart here
@@ -268,8 +284,8 @@ class SharedSpans:
         begin = F.when(F.col("start") - before <= LENGTH, 0).otherwise(1)
         island = hit.withColumn("begin", begin).withColumn("island", F.sum("begin").over(at))
         found = island.groupBy("doc_id", "island").agg(F.min("start").alias("start"), (F.max("last") + LENGTH - F.min("start")).alias("length")).drop("island")
-        own = found.join(self.members.select(F.col("doc_id").alias("doc_id")), "doc_id", "left_anti")
-        whole = self.docs.join(self.members.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.lit(0).alias("start"), F.length("text").alias("length")).distinct()
+        own = found.join(self.copies.select("doc_id"), "doc_id", "left_anti")
+        whole = self.docs.join(self.copies.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.lit(0).alias("start"), F.length("text").alias("length")).distinct()
         return own.unionByName(whole)
 
     def portions(self) -> DataFrame:

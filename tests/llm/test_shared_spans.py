@@ -57,12 +57,20 @@ def test_copies_null_short_and_repeated(spark):
     assert pairs(spark, [(1, None)]) == set()
 
 
-def test_hot_copies_are_a_star(spark, monkeypatch):
-    monkeypatch.setattr(ss, "COPIES", 3)
+def test_large_groups_are_stars_with_their_members(spark, monkeypatch):
+    monkeypatch.setattr(ss, "PAIRS_UPTO", 3)
     rng = random.Random(4)
-    t = text(rng, 300)
-    texts = [(k, t) for k in range(1, 7)] + [(10, "y" + t)]
-    assert pairs(spark, texts) == {(1, k) for k in range(2, 7)} | {(1, 10)}
+    t, passage = text(rng, 300), text(rng, 220)
+    texts = [(k, t) for k in range(1, 7)] + [(10, "y" + t)] + [(k, text(rng, 90) + passage) for k in range(20, 25)]
+    got = ss.SharedSpans(docs(spark, texts))
+    star = {(1, k) for k in range(2, 7)} | {(1, 10)} | {(20, k) for k in range(21, 25)}
+    assert {(r.doc_id_a, r.doc_id_b) for r in got.pairs().collect()} == star
+    assert {(r.doc_id, r.class_id, r.copies) for r in got.classes().collect()} == {(k, 1, 6) for k in range(1, 7)} | {(k, k, 1) for k in (10, *range(20, 25))}
+    sets = {}
+    for r in got.members().collect():
+        sets.setdefault((r.set_id, r.first, r.n), set()).add(r.doc_id)
+    assert {1, 10} in sets.values() and {20, 21, 22, 23, 24} in sets.values()
+    assert all(first == min(own) and n == len(own) for (_, first, n), own in sets.items())
 
 
 def test_many_documents_with_one_stretch(spark):
@@ -139,7 +147,7 @@ def test_what_lies_outside_a_span_hides_no_key(monkeypatch):
     starts, found = np.arange(n) * size, []
     for name in names:
         monkeypatch.setattr(ss, "boundaries", lambda cp, first, name=name: ((at + starts[:, None])[there], name[there]))
-        kept, _ = ss.anchors(np.zeros(n * size, np.uint32), starts, np.full(n, size))
+        kept, *_ = ss.anchors(np.zeros(n * size, np.uint32), starts, np.full(n, size))
         inside = (kept % size >= low) & (kept % size <= low + ss.WINDOW)
         found.append(kept[inside])
     assert len(np.unique(np.intersect1d(*found) // size)) == n
