@@ -67,12 +67,14 @@ def sweep_extent(points: DataFrame) -> DataFrame:
     return p.groupBy("metadata_id").agg(*(f(c).alias(f"{n}_{c}") for c in ("v_drain", "i_drain", "v_gate") for n, f in (("min", F.min), ("max", F.max))), F.count("*").alias("points"))
 
 
-def refined_category(extent: DataFrame, files: DataFrame, blocking_v: float = 100.0, quadrant_share: float = 0.5) -> DataFrame:
-    """(metadata_id, measurement_category, refined): IdVd files that in truth block or conduct in the third quadrant."""
+def refined_category(extent: DataFrame, files: DataFrame) -> DataFrame:
+    """(metadata_id, measurement_category, refined): IdVd files that in truth block (30 V or more at less than 1 A) or else
+    conduct in the third quadrant (at most 0.5 V, below -0.1 V, and below -0.1 uA)."""
     j = extent.join(files.select(F.col("id").alias("metadata_id"), "measurement_category"), "metadata_id")
-    third = (F.col("min_v_drain") < 0) & (F.abs("min_v_drain") >= quadrant_share * F.greatest(F.col("max_v_drain"), F.lit(0.0)))
-    blocks = (F.col("max_v_drain") >= blocking_v) & (F.greatest(F.abs("min_i_drain"), F.abs("max_i_drain")) < 0.1)
-    kind = F.when(F.col("measurement_category") == "IdVd", F.when(third, "3rd_Quadrant").when(blocks, "Blocking").otherwise("IdVd")).otherwise(F.col("measurement_category"))
+    most = F.greatest(F.abs("min_i_drain"), F.abs("max_i_drain"))
+    blocks = (F.col("max_v_drain") >= 30.0) & (most.isNull() | (most < 1.0))
+    third = (F.col("max_v_drain") <= 0.5) & (F.col("min_v_drain") < -0.1) & (F.col("min_i_drain") < -1e-7)
+    kind = F.when(F.col("measurement_category") == "IdVd", F.when(blocks, "Blocking").when(third, "3rd_Quadrant").otherwise("IdVd")).otherwise(F.col("measurement_category"))
     return j.select("metadata_id", "measurement_category", kind.alias("refined"))
 
 

@@ -53,6 +53,16 @@ def look_back(df: DataFrame, key: list[str], position: str, columns: dict[str, s
     return d.filter(~at_edge).unionByName(edge)
 
 
+def in_blocks(df: DataFrame, position: str, margin: int, block: int = BLOCK) -> DataFrame:
+    """df with _block and _core: every row in its block of positions and, within margin of an edge, also in the block
+    beside it (there _core is false), so that a window of up to margin rows either way runs inside one block."""
+    own = F.floor(F.col(position) / block)
+    off = F.pmod(F.col(position), F.lit(block))
+    at = lambda b, core: F.struct(b.alias("_block"), F.lit(core).alias("_core"))
+    places = F.array_compact(F.array(at(own, True), F.when(off < margin, at(own - 1, False)), F.when(off >= block - margin, at(own + 1, False))))
+    return df.select("*", F.inline(places))
+
+
 def islands(df: DataFrame, key: list[str], position: str, gap: int | float) -> DataFrame:
     """df plus island: a number that goes up where position is more than gap beyond the one before it."""
     w = ordered(key, [position])

@@ -93,8 +93,8 @@ def _(t):
 
 
 @query("param_refined_category", """
-WITH c AS (SELECT metadata_id, min(d) AS lo, max(d) AS hi, max(abs(i)) AS most FROM (SELECT metadata_id, CASE WHEN abs(v_drain) < 1e30 THEN v_drain END AS d, CASE WHEN abs(i_drain) < 1e30 THEN i_drain END AS i FROM baselines_measurements) GROUP BY 1)
-SELECT metadata_id, measurement_category, CASE WHEN measurement_category = 'IdVd' THEN CASE WHEN lo < 0 AND abs(lo) >= 0.5 * greatest(hi, 0) THEN '3rd_Quadrant' WHEN hi >= 100 AND most < 0.1 THEN 'Blocking' ELSE 'IdVd' END ELSE measurement_category END AS refined
+WITH c AS (SELECT metadata_id, min(d) AS lo, max(d) AS hi, max(abs(i)) AS most, min(i) AS least_i FROM (SELECT metadata_id, CASE WHEN abs(v_drain) < 1e30 THEN v_drain END AS d, CASE WHEN abs(i_drain) < 1e30 THEN i_drain END AS i FROM baselines_measurements) GROUP BY 1)
+SELECT metadata_id, measurement_category, CASE WHEN measurement_category IS DISTINCT FROM 'IdVd' THEN measurement_category WHEN hi >= 30 AND coalesce(most, 0) < 1 THEN 'Blocking' WHEN hi <= 0.5 AND lo < -0.1 AND least_i < -1e-7 THEN '3rd_Quadrant' ELSE measurement_category END AS refined
 FROM c JOIN baselines_metadata f ON f.id = c.metadata_id""")
 def _(t):
     return parameters.refined_category(parameters.sweep_extent(t("baselines_measurements")), t("baselines_metadata"))
@@ -113,7 +113,9 @@ def positioned(t):
 CANDIDATES = POS + """, d AS (SELECT metadata_id, position, abs(i_drain) - lag(abs(i_drain)) OVER w AS dd, abs(i_gate) - lag(abs(i_gate)) OVER w AS dg FROM pos WINDOW w AS (PARTITION BY metadata_id ORDER BY position)),
 md AS (SELECT *, quantile_cont(dd, 0.5) OVER (PARTITION BY metadata_id) AS m1, quantile_cont(dg, 0.5) OVER (PARTITION BY metadata_id) AS m2 FROM d),
 s AS (SELECT metadata_id, CASE WHEN count(dd) < 5 THEN 0 WHEN quantile_cont(abs(dd - m1), 0.5) > 0 THEN 1.4826 * quantile_cont(abs(dd - m1), 0.5) ELSE stddev_pop(dd) END AS s1, CASE WHEN count(dg) < 5 THEN 0 WHEN quantile_cont(abs(dg - m2), 0.5) > 0 THEN 1.4826 * quantile_cont(abs(dg - m2), 0.5) ELSE stddev_pop(dg) END AS s2 FROM md GROUP BY 1),
-k AS (SELECT d.metadata_id, position, greatest(coalesce(dd, 0), 0) AS d_drain, greatest(coalesce(dg, 0), 0) AS d_gate, greatest(1e-6, 8 * s1) AS t_drain, greatest(1e-8, 8 * s2) AS t_gate FROM d JOIN s USING (metadata_id)),
+rm AS (SELECT metadata_id, position, quantile_cont(abs(i_drain), 0.5) OVER n - quantile_cont(abs(i_drain), 0.5) OVER b AS rd, quantile_cont(abs(i_gate), 0.5) OVER n - quantile_cont(abs(i_gate), 0.5) OVER b AS rg FROM pos
+  WINDOW b AS (PARTITION BY metadata_id ORDER BY position ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), n AS (PARTITION BY metadata_id ORDER BY position ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)),
+k AS (SELECT d.metadata_id, position, greatest(coalesce(dd, 0), coalesce(rd, 0), 0) AS d_drain, greatest(coalesce(dg, 0), coalesce(rg, 0), 0) AS d_gate, greatest(1e-6, 8 * s1) AS t_drain, greatest(1e-8, 8 * s2) AS t_gate FROM d JOIN s USING (metadata_id) JOIN rm USING (metadata_id, position)),
 cand AS (SELECT * FROM k WHERE d_drain >= t_drain OR (d_gate >= t_gate AND d_drain >= 0.25 * t_drain)),
 isl AS (SELECT *, sum(CASE WHEN position - prev <= 2 THEN 0 ELSE 1 END) OVER (PARTITION BY metadata_id ORDER BY position) AS event FROM (SELECT *, lag(position) OVER (PARTITION BY metadata_id ORDER BY position) AS prev FROM cand))"""
 
@@ -142,10 +144,17 @@ def _(t):
     return e.select("metadata_id", "event", r("v_before", 4).alias("v_before"), r("v_after", 4).alias("v_after"), r("collapse", 5).alias("collapse"))
 
 
-ACTIVE = POS + """, dw AS (SELECT p.*, fluence - lag(fluence) OVER (PARTITION BY metadata_id ORDER BY position) AS df, coalesce(f.compliance_ch1 * 0.995, 0.01) AS most FROM pos p LEFT JOIN baselines_metadata f ON f.id = p.metadata_id),
-a AS (SELECT metadata_id, min(time_val) FILTER (WHERE df > 0) AS start, max(time_val) FILTER (WHERE df > 0) AS beam, bool_or(df < 0) AS reset, min(time_val) FILTER (WHERE abs(i_drain) >= most) AS hit, count(fluence) AS n FROM dw GROUP BY 1),
-b AS (SELECT *, CASE WHEN n = 0 THEN 'no_fluence' WHEN coalesce(reset, false) THEN 'fluence_reset_artifact' WHEN start IS NULL THEN 'no_beam' WHEN hit <= beam THEN 'current_compliance' ELSE 'fluence_positive_delta' END AS basis FROM a),
-win AS (SELECT metadata_id, basis, start, CASE WHEN basis = 'current_compliance' THEN hit ELSE beam END AS stop, basis = 'fluence_positive_delta' AS comparable FROM b)"""
+ACTIVE = POS + """, fl AS (SELECT metadata_id, time_val, fluence, lag(time_val) OVER w AS t0, fluence - lag(fluence) OVER w AS df FROM pos WHERE fluence IS NOT NULL AND NOT isnan(fluence) AND time_val IS NOT NULL WINDOW w AS (PARTITION BY metadata_id ORDER BY position)),
+tol AS (SELECT metadata_id, greatest(1e-9, 1e-9 * max(abs(fluence))) AS tol FROM fl GROUP BY 1),
+bm AS (SELECT metadata_id, min(t0) FILTER (WHERE df > tol) AS a0, max(time_val) FILTER (WHERE df > tol) AS a1, count(*) FILTER (WHERE df < -tol) AS falls, max(fluence) - min(fluence) AS span, count(*) AS n FROM fl JOIN tol USING (metadata_id) GROUP BY 1),
+fi AS (SELECT metadata_id, count(time_val) AS times FROM pos GROUP BY 1),
+bs AS (SELECT fi.metadata_id, a0, a1, CASE WHEN times = 0 THEN 'unknown_no_time' WHEN coalesce(n, 0) < 2 THEN 'unknown_no_fluence' WHEN falls > 0 THEN 'fluence_reset_artifact' WHEN a0 IS NOT NULL AND span >= 1 THEN 'fluence_positive_delta' ELSE 'fluence_static_or_missing_progression' END AS basis,
+  least(CASE WHEN abs(f.compliance_ch1) > 0 THEN abs(f.compliance_ch1) END, CASE WHEN abs(f.compliance_ch2) > 0 THEN abs(f.compliance_ch2) END) AS comp FROM fi LEFT JOIN bm USING (metadata_id) LEFT JOIN baselines_metadata f ON f.id = fi.metadata_id),
+ht AS (SELECT p.metadata_id, min(p.time_val) AS hit FROM pos p JOIN bs ON bs.metadata_id = p.metadata_id AND basis = 'fluence_positive_delta' AND p.time_val BETWEEN a0 AND a1 AND abs(p.i_drain) >= coalesce(0.995 * comp, 0.01) GROUP BY 1),
+win AS (SELECT metadata_id, basis, CASE WHEN basis IN ('fluence_positive_delta', 'fluence_reset_artifact') THEN a0 END AS active_start, CASE WHEN basis IN ('fluence_positive_delta', 'fluence_reset_artifact') THEN a1 END AS active_stop,
+  CASE basis WHEN 'fluence_positive_delta' THEN a0 END AS start, CASE basis WHEN 'fluence_positive_delta' THEN coalesce(hit, a1) END AS stop, hit AS failure,
+  CASE WHEN hit IS NOT NULL AND comp IS NOT NULL THEN 'current_compliance' WHEN hit IS NOT NULL THEN 'heuristic_current_plateau' WHEN basis = 'fluence_positive_delta' THEN 'none' WHEN basis = 'fluence_reset_artifact' THEN basis ELSE 'active_window_unknown' END AS reason,
+  basis = 'fluence_positive_delta' AND hit IS NULL AS comparable FROM bs LEFT JOIN ht USING (metadata_id))"""
 
 
 @query("event_windows", ACTIVE + " SELECT * FROM win")
@@ -153,7 +162,15 @@ def _(t):
     return events.active_window(positioned(t), t("baselines_metadata"))
 
 
-@query("event_energy", ACTIVE + """, x AS (SELECT p.metadata_id, position, time_val, v_drain * i_drain AS p FROM pos p JOIN win w ON w.metadata_id = p.metadata_id AND comparable AND time_val BETWEEN start AND stop WHERE v_drain IS NOT NULL AND i_drain IS NOT NULL),
+@query("event_point_flags", ACTIVE + """, g AS (SELECT metadata_id, coalesce(time_val BETWEEN active_start AND active_stop, false) AS active, coalesce(time_val <= failure, true) AS pre, coalesce(time_val BETWEEN start AND stop, false) AS inside, active_start, start FROM pos JOIN win USING (metadata_id))
+SELECT metadata_id, CASE WHEN active_start IS NULL THEN 'active_window_unknown' WHEN NOT active THEN 'outside_active_window' WHEN NOT pre THEN 'post_failure_or_compliance' WHEN start IS NULL THEN 'energy_window_unknown' END AS exclusion, count(*) AS points, count(*) FILTER (WHERE inside AND pre) AS integrable FROM g GROUP BY ALL""")
+def _(t):
+    p = positioned(t)
+    g = events.point_flags(p, events.active_window(p, t("baselines_metadata")))
+    return g.groupBy("metadata_id", "exclusion").agg(F.count("*").alias("points"), F.count_if("integrable").alias("integrable"))
+
+
+@query("event_energy", ACTIVE + """, x AS (SELECT p.metadata_id, position, time_val, v_drain * i_drain AS p FROM pos p JOIN win w ON w.metadata_id = p.metadata_id AND time_val BETWEEN start AND stop WHERE v_drain IS NOT NULL AND i_drain IS NOT NULL),
 y AS (SELECT metadata_id, (greatest(p, 0) + lag(greatest(p, 0)) OVER w) / 2 * greatest(time_val - lag(time_val) OVER w, 0) AS e FROM x WINDOW w AS (PARTITION BY metadata_id ORDER BY position))
 SELECT metadata_id, round(sum(e) * 1e6, 3) AS energy_uj, count(e) AS steps FROM y GROUP BY 1""")
 def _(t):
@@ -369,11 +386,14 @@ def _(t):
 
 
 @query("src_companions", r"""
-WITH p AS (SELECT DISTINCT csv_path, replace(lower(csv_path), '\', '/') AS p FROM baselines_metadata WHERE csv_path IS NOT NULL), c AS (SELECT csv_path, regexp_replace(p, '/[^/]*$', '') || '/' || regexp_replace(regexp_extract(p, '([^/]*)$', 1), '[.][^.]*$', '') || '.tsp' AS want FROM p),
-l AS (SELECT replace(lower(tsp_path), '\', '/') AS k, min(tsp_path) AS companion FROM baselines_metadata WHERE tsp_path IS NOT NULL GROUP BY 1) SELECT c.csv_path, l.companion FROM c JOIN l ON l.k = c.want""")
+WITH p AS (SELECT DISTINCT csv_path, string_split(replace(lower(csv_path), chr(92), '/'), '/') AS a FROM baselines_metadata WHERE csv_path IS NOT NULL), s AS (SELECT csv_path, a, regexp_replace(a[-1], '[.][^.]*$', '') AS stem FROM p),
+v AS (SELECT csv_path, a, unnest([0, 1, 2]) AS variant, unnest([stem, regexp_replace(stem, '_append[0-9]*$', ''), regexp_replace(stem, '^[0-9]+_', '')]) AS stem FROM s), u AS (SELECT *, unnest(range(0, 5)) AS up FROM v),
+w AS (SELECT csv_path, variant, up, array_to_string(a[1:len(a) - 1 - up], '/') || '/' || stem || '.tsp' AS want FROM u WHERE len(a) > up + 1),
+l AS (SELECT DISTINCT tsp_path AS companion, replace(lower(tsp_path), chr(92), '/') AS k FROM baselines_metadata WHERE tsp_path IS NOT NULL)
+SELECT csv_path, companion FROM (SELECT csv_path, companion, row_number() OVER (PARTITION BY csv_path ORDER BY variant, up, companion) AS n FROM w JOIN l ON l.k = w.want) WHERE n = 1""")
 def _(t):
     f = t("baselines_metadata")
-    return listing.companions(f.filter("csv_path IS NOT NULL").select("csv_path").distinct(), f.filter("tsp_path IS NOT NULL").select(F.col("tsp_path").alias("path")).distinct(), "csv_path", "tsp", levels=0)
+    return listing.companions(f.filter("csv_path IS NOT NULL").select("csv_path").distinct(), f.filter("tsp_path IS NOT NULL").select(F.col("tsp_path").alias("path")).distinct(), "csv_path", "tsp", folder=None)
 
 
 @query("src_remapped", """

@@ -218,7 +218,7 @@ def _(t):
 @query("join_rules", """
 WITH d AS (SELECT id, device_id, coalesce(data_source, 'baselines') AS source FROM baselines_metadata),
 m AS (SELECT d.id, r.part_number, row_number() OVER (PARTITION BY d.id ORDER BY r.priority DESC, length(r.pattern) DESC, r.id) AS n FROM d JOIN device_mapping_rules r
-  ON (r.scope = 'all' OR r.scope = d.source) AND CASE r.pattern_type WHEN 'substring' THEN contains(upper(d.device_id), upper(r.pattern)) ELSE regexp_matches(d.device_id, '(?i)' || r.pattern) END)
+  ON (r.scope = 'all' OR CASE r.scope WHEN 'sc' THEN 'sc_ruggedness' ELSE r.scope END = d.source) AND CASE r.pattern_type WHEN 'substring' THEN contains(upper(d.device_id), upper(r.pattern)) ELSE regexp_matches(d.device_id, '(?i)' || r.pattern) END)
 SELECT d.id, m.part_number FROM d LEFT JOIN m ON d.id = m.id AND m.n = 1""")
 def _(t):
     d = t("baselines_metadata").select("id", "device_id", F.coalesce("data_source", F.lit("baselines")).alias("source"))

@@ -33,9 +33,12 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "20g"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or an own one where that is unset (tests)."""
+    """The folder all executors share, as spark.checkpoint.dir names it; only a local session may do without and gets an
+    own one, as executors elsewhere would each write to their own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="ohmgrid-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

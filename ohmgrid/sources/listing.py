@@ -32,14 +32,18 @@ def stem(path: str):
     return F.regexp_replace(F.regexp_extract(F.translate(path, "\\", "/"), r"([^/]*)$", 1), r"\.[^.]*$", "")
 
 
-def companions(files: DataFrame, listing: DataFrame, path: str, extension: str, levels: int = 5) -> DataFrame:
-    """(path, companion): `lib/<stem>.<extension>` beside the file or up to levels folders above, the nearest first."""
-    p = F.translate(F.lower(path), "\\", "/")
-    folder = F.array_compact(F.array(*(F.when(F.size(F.split(p, "/")) > i + 1, F.struct(F.lit(i).alias("up"), F.array_join(F.slice(F.split(p, "/"), 1, F.size(F.split(p, "/")) - 1 - i), "/").alias("dir"))) for i in range(levels + 1))))
-    want = files.select(F.col(path), F.lower(stem(path)).alias("_s"), F.explode(folder).alias("f"))
-    want = want.select(path, "f.up", F.explode(F.array(F.concat("f.dir", F.lit("/lib/"), "_s", F.lit(f".{extension}")), F.concat("f.dir", F.lit("/"), "_s", F.lit(f".{extension}")))).alias("_c"))
+def companions(files: DataFrame, listing: DataFrame, path: str, extension: str, levels: int = 5, folder: str | None = "lib") -> DataFrame:
+    """(path, companion): `<folder>/<stem>.<extension>` below the file's own folder or, up to levels folders in all, one
+    above; folder None is the folder itself. The whole stem is looked for everywhere first, then the stem without
+    `_append` and its number, then without a number in front."""
+    parts = F.split(F.translate(F.lower(path), "\\", "/"), "/")
+    dirs = F.array_compact(F.array(*(F.when(F.size(parts) > i + 1, F.struct(F.lit(i).alias("up"), F.array_join(F.slice(parts, 1, F.size(parts) - 1 - i), "/").alias("dir"))) for i in range(levels))))
+    s = F.lower(stem(path))
+    stems = F.array(*(F.struct(F.lit(i).alias("variant"), x.alias("s")) for i, x in enumerate((s, F.regexp_replace(s, r"_append[0-9]*$", ""), F.regexp_replace(s, r"^[0-9]+_", "")))))
+    want = files.select(path, F.explode(dirs).alias("d"), stems.alias("stems")).select(path, "d", F.explode("stems").alias("v"))
+    want = want.select(path, "d.up", "v.variant", F.concat("d.dir", F.lit(f"/{folder}/" if folder else "/"), "v.s", F.lit(f".{extension}")).alias("_c"))
     there = listing.select(F.translate(F.lower("path"), "\\", "/").alias("_c"), F.col("path").alias("companion"))
-    return want.join(there, "_c").groupBy(path).agg(F.min(F.struct("up", "companion")).alias("m")).select(path, "m.companion")
+    return want.join(there, "_c").groupBy(path).agg(F.min(F.struct("variant", "up", "companion")).alias("m")).select(path, "m.companion")
 
 
 def channel_groups(files: DataFrame, path: str) -> DataFrame:

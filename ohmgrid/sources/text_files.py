@@ -58,12 +58,14 @@ def _wide(cells: DataFrame) -> DataFrame:
 
 
 def curve_csv(files: DataFrame, separator: str | None = ",") -> DataFrame:
-    """Curve-tracer files: an optional first line `GROUP ...`, a header (`V_Drain(1),...` is unpivoted by step), data.
-    separator: None finds each file's own in its header."""
-    skip = F.when(F.upper(F.get("l", F.lit(0))).startswith("GROUP"), 1).otherwise(0)
+    """Curve-tracer files: a header (`V_Drain(1),...` is unpivoted by step), data; a row with a cell that names a GROUP is
+    skipped behind the header, and a line that begins with GROUP before it. separator: None finds each file's own."""
+    group = lambda i: F.upper(F.get("l", i))
+    skip = F.when(group(F.lit(0)).startswith("GROUP"), 1).otherwise(0)
     f = files.withColumn("l", _lines()).withColumn("s", skip).filter("size(l) > s")
     header = F.get("l", F.col("s"))
-    return _wide(_cells(f, header, F.slice("l", F.col("s") + 2, F.greatest(F.size("l") - F.col("s") - 1, F.lit(0))), _separator(header) if separator is None else separator))
+    begin = F.col("s") + 1 + F.when(F.contains(group(F.col("s") + 1), F.lit("GROUP")), 1).otherwise(0)
+    return _wide(_cells(f, header, F.slice("l", begin + 1, F.greatest(F.size("l") - begin, F.lit(0))), _separator(header) if separator is None else separator))
 
 
 def two_header_csv(files: DataFrame, separator: str = ",") -> DataFrame:
@@ -79,13 +81,27 @@ def scope_csv(files: DataFrame) -> DataFrame:
     return rows.filter("size(p) >= 4").select("path", "row_no", *cols).filter("time_val IS NOT NULL")
 
 
+#: Columns of a monitor file, and those of the rows that leave the gate out.
+MONITOR = ("time_val", "v_drain", "i_drain", "v_gate", "i_gate", "board_ms", "fluence")
+SHORT_MONITOR = ("time_val", "v_drain", "i_drain", "board_ms", "fluence")
+MONITOR_NAMES = CHANNEL | {"fluence": "fluence", "fluence_cm2": "fluence", "fluence_per_cm2": "fluence"}
+
+
 def monitor_txt(files: DataFrame) -> DataFrame:
-    """Monitor files: `key = value` lines, then tab-separated rows of seven or, shortened, five columns."""
-    names = ("time_val", "v_gate", "i_gate", "v_drain", "i_drain")
-    rows = files.select("path", F.posexplode(_lines()).alias("row_no", "line")).withColumn("p", F.split("line", "\t"))
-    place = {n: (i, j) for n, i, j in zip(names, (0, 1, 2, 4, 5), range(5))}
-    pick = [_number(F.when(F.size("p") == 5, F.get("p", F.lit(j))).otherwise(F.get("p", F.lit(i)))).alias(n) for n, (i, j) in place.items()]
-    return rows.filter("size(p) IN (5, 7)").select("path", "row_no", *pick).filter("time_val IS NOT NULL")
+    """Monitor files: `key = value` lines, perhaps a header of seven names, then tab-separated rows of seven columns, or of
+    five that leave the gate out. Seven columns go by the header's names, else by MONITOR; five by SHORT_MONITOR."""
+    names = ("time_val", "v_gate", "i_gate", "v_drain", "i_drain", "fluence")
+    fold = lambda h: F.regexp_replace(F.lower(F.trim(F.regexp_replace(h, r"\([^)]*\)|\[[^\]]*\]", ""))), r"[\s_]+", "_")
+    known = F.create_map(*(F.lit(x) for kv in MONITOR_NAMES.items() for x in kv))
+    is_head = lambda x: (F.size(F.split(x, "\t")) >= 7) & (fold(F.get(F.split(x, "\t"), F.lit(0))).isin("time", "time_val", "t"))
+    f = files.select("path", _lines().alias("l")).withColumn("head", F.get(F.filter("l", is_head), F.lit(0)))
+    heads = F.transform(F.split("head", "\t"), lambda h: known[fold(h)])
+    f = f.withColumn("heads", F.coalesce(heads, F.array(*map(F.lit, MONITOR))))
+    rows = f.select("path", "heads", F.posexplode("l").alias("row_no", "line")).withColumn("p", F.split("line", "\t"))
+    cell = lambda n: F.get("p", (F.array_position(F.when(F.size("p") == 5, F.array(*map(F.lit, SHORT_MONITOR))).otherwise(F.col("heads")), n) - 1).cast("int"))
+    there = lambda n: F.array_contains(F.when(F.size("p") == 5, F.array(*map(F.lit, SHORT_MONITOR))).otherwise(F.col("heads")), n)
+    pick = [_number(F.when(there(n), cell(n))).alias(n) for n in names]
+    return rows.filter("size(p) = 5 OR size(p) >= 7").select("path", "row_no", *pick).filter("time_val IS NOT NULL")
 
 
 def settings(files: DataFrame) -> DataFrame:

@@ -111,17 +111,51 @@ POINTS = "metadata_id int, point_index int, time_val double, v_gate double, i_ga
 
 
 def test_active_windows(spark):
-    def window(fluence, current=None, compliance=None):
+    def window(fluence, current=None, compliance=None, second=None):
         pts = [(1, k, float(k), 0.0, 0.0, 100.0, (current or [1e-6] * 9)[k], f) for k, f in enumerate(fluence)]
-        f = df(spark, "id int, compliance_ch1 double", (1, compliance))
-        r = events.active_window(events.positioned(df(spark, POINTS, *pts)), f).first()
-        return r.basis, r.start, r.stop, r.comparable
-
-    assert window([0.0, 0.0, 5.0, 10.0, 10.0]) == ("fluence_positive_delta", 2.0, 3.0, True)
-    assert window([0.0, 5.0, 10.0, 15.0], [1e-6, 2e-6, 9.95e-3, 1.1e-2], 0.01) == ("current_compliance", 1.0, 2.0, False)
-    assert window([0.0, 5.0, 10.0, 15.0], [1e-6, 2e-6, 1.1e-2, 1.1e-2]) == ("current_compliance", 1.0, 2.0, False)
-    assert window([None, None])[0] == "no_fluence"
-    assert window([0.0, 5.0, 3.0])[0] == "fluence_reset_artifact"
+        f = df(spark, "id int, compliance_ch1 double, compliance_ch2 double", (1, compliance, second))
+        p = events.positioned(df(spark, POINTS, *pts))
+        w = events.active_window(p, f)
+        flags = [(r.active, r.integrable, r.exclusion) for r in events.point_flags(p, w).orderBy("position").collect()]
+        return w.first(), flags
+
+    # an active window by steps of fluence
+    w, flags = window([0.0, 0.0, 5.0, 10.0, 10.0])
+    assert (w.basis, w.reason, w.comparable) == ("fluence_positive_delta", "none", True)
+    assert (w.active_start, w.active_stop, w.start, w.stop) == (1.0, 3.0, 1.0, 3.0)
+    assert [f[1] for f in flags] == [False, True, True, True, False] and not flags[0][0] and flags[4][2] == "outside_active_window"
+    # compliance in the middle
+    w, flags = window([0.0, 5.0, 10.0, 15.0], [1e-6, 2e-6, 9.95e-3, 1.1e-2], 0.01)
+    assert (w.reason, w.failure, w.stop, w.comparable) == ("current_compliance", 2.0, 2.0, False)
+    assert flags[3][1:] == (False, "post_failure_or_compliance")
+    assert window([0.0, 5.0, 10.0, 15.0], [1e-6, 2e-6, 9.95e-3, 1.1e-2], 5.0, 0.01)[0].failure == 2.0
+    # no compliance known: 10 mA
+    w, flags = window([0.0, 5.0, 10.0, 15.0], [1e-6, 2e-6, 1.2e-2, 2.0e-2])
+    assert (w.reason, w.failure, w.stop, w.comparable) == ("heuristic_current_plateau", 2.0, 2.0, False) and not flags[3][1]
+    # no fluence
+    w, flags = window([None, None, None])
+    assert (w.basis, w.reason, w.start, w.stop, w.comparable) == ("unknown_no_fluence", "active_window_unknown", None, None, False) and not any(f[1] for f in flags)
+    # falling fluence
+    w, _ = window([0.0, 5.0, 1.0, 6.0])
+    assert (w.basis, w.reason, w.start, w.stop, w.comparable) == ("fluence_reset_artifact", "fluence_reset_artifact", None, None, False)
+    # a crossing before the beam is none
+    w, _ = window([0.0, 0.0, 0.0, 5.0, 10.0], [2e-2, 1e-6, 1e-6, 1e-6, 1e-6])
+    assert (w.start, w.stop, w.failure, w.comparable) == (2.0, 4.0, None, True)
+    assert window([0.0, 0.4, 0.8])[0].basis == "fluence_static_or_missing_progression"
+
+
+def test_refined_categories(spark):
+    s = "metadata_id int, min_v_drain double, max_v_drain double, min_i_drain double, max_i_drain double"
+    e = df(spark, s, (1, 0.0, 40.0, 0.0, 0.5), (2, -30.0, 40.0, -0.5, 0.5), (3, 0.0, 40.0, 0.0, 2.0), (4, -5.0, 0.2, -0.1, 0.0), (5, -5.0, 0.2, -1e-8, 0.0), (6, 0.0, 40.0, None, None), (7, 0.0, 40.0, 0.0, 0.5))
+    f = df(spark, "id int, measurement_category string", *((i, "IdVd") for i in range(1, 7)), (7, "IdVg"))
+    assert {r.metadata_id: r.refined for r in parameters.refined_category(e, f).collect()} == {1: "Blocking", 2: "Blocking", 3: "IdVd", 4: "3rd_Quadrant", 5: "IdVd", 6: "Blocking", 7: "IdVg"}
+
+
+def test_slow_ramps_are_events(spark):
+    current = [1e-6 + (1e-12 * (k % 2)) + max(0, min(k - 1020, 6)) * 0.5e-6 for k in range(1100)]  # half the floor in each step, over a block's edge
+    pts = [(1, k, float(k), 0.0, 1e-12, 100.0, c, None) for k, c in enumerate(current)]
+    got = events.candidates(events.positioned(df(spark, POINTS, *pts)), events.Detector(sigmas=0.0)).collect()
+    assert got and min(r.position for r in got) >= 1020 and max(r.position for r in got) <= 1030 and max(r.d_drain for r in got) > 1.4e-6
 
 
 def test_events(spark):
@@ -132,7 +166,8 @@ def test_events(spark):
         gate[k] += 8e-4
     pts = [(1, k, float(k), 0.0, gate[k], 100.0 if k < 20 else 30.0, current[k], None) for k in range(40)]
     e = events.collapse(events.events(events.positioned(df(spark, POINTS, *pts)))).collect()
-    assert len(e) == 1 and e[0].kind == "drain_gate" and e[0].first == 21 and e[0].collapse == pytest.approx(0.7)
+    # the ramp sees the step one point early: two of the three points from k = 19 on are high
+    assert len(e) == 1 and e[0].kind == "drain_gate" and (e[0].first, e[0].last) == (20, 22) and e[0].collapse == pytest.approx(0.7)
     assert events.events(events.positioned(df(spark, POINTS, *pts[:20]))).count() == 0
     h = events.pulse_history(df(spark, "d int, s int, e double", (1, 1, 1.2), (1, 0, 1.0), (1, 2, None), (1, 3, 1.0)), ["d"], ["s"], "e").orderBy("s").collect()
     assert [(r.pulse, r.cumulative) for r in h] == [(1, 1.0), (2, 2.2), (3, None), (4, None)]

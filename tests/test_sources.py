@@ -14,6 +14,8 @@ def texts(spark, *contents):
 
 def test_curve_csv(spark):
     got = text_files.curve_csv(texts(spark, "GROUP 1\nV_Drain(1),I_Drain(1),V_Drain(2),I_Drain(2)\n1,2,3,4\n,,,\nx,1e-3,NaN,\n1,2\n", "Vgs [V],Ids [A]\r\n5,6\r\n", "", "only")).collect()
+    behind = text_files.curve_csv(texts(spark, "V_Drain,I_Drain\nGROUP 1,7\n1,2\n")).collect()
+    assert [(r.v_drain, r.i_drain) for r in behind] == [(1.0, 2.0)]
     rows = {(r.path, r.row_no, r.step): (r.v_gate, r.v_drain, r.i_drain) for r in got}
     assert rows == {("f0", 0, 1): (None, 1.0, 2.0), ("f0", 0, 2): (None, 3.0, 4.0), ("f0", 2, 1): (None, None, 1e-3), ("f1", 0, 1): (5.0, None, 6.0)}
 
@@ -34,9 +36,13 @@ def test_other_layouts(spark):
     assert sorted((r.v_gate, r.i_gate) for r in two) == [(1.0, 2.0), (3.0, 4.0)]
     scope = text_files.scope_csv(texts(spark, "t,v,i,g\n0,1,2,3\n1e-6;2;3;4\nbad\n")).collect()
     assert [(r.time_val, r.v_drain) for r in scope] == [(0.0, 1.0), (1e-6, 2.0)]
-    t7, t5 = "1\t2\t3\tx\t4\t5\ty", "2\t3\t4\t5\t6"
-    mon = text_files.monitor_txt(texts(spark, f"Facility = North\n{t7}\n{t5}\n")).collect()
-    assert [(r.time_val, r.v_gate, r.i_gate, r.v_drain, r.i_drain) for r in mon] == [(1.0, 2.0, 3.0, 4.0, 5.0), (2.0, 3.0, 4.0, 5.0, 6.0)]
+    head, t7, t5 = "Time\tVds\tIds\tVgs\tIgs\tarduino_ms\tfluence", "1\t2\t3\t4\t5\t6\t7", "2\t3\t4\t5\t6"
+    want = [(1.0, 2.0, 3.0, 4.0, 5.0, 7.0), (2.0, 3.0, 4.0, None, None, 6.0)]
+    for first in (f"{head}\n", ""):
+        mon = text_files.monitor_txt(texts(spark, f"Facility = North\n{first}{t7}\n{t5}\n")).collect()
+        assert [(r.time_val, r.v_drain, r.i_drain, r.v_gate, r.i_gate, r.fluence) for r in mon] == want
+    turned = text_files.monitor_txt(texts(spark, "t\tVg\tIg\tVd\tId\tarduino_ms\tfluence_cm2\n1\t2\t3\t4\t5\t6\t7\n")).first()
+    assert (turned.v_gate, turned.i_drain, turned.fluence) == (2.0, 5.0, 7.0)
     assert [(r.key, r.value) for r in text_files.settings(texts(spark, "Facility = North\nrun: 5 \n\n1\t2")).collect()] == [("Facility", "North"), ("run", "5")]
 
 
@@ -63,7 +69,12 @@ def test_folders(spark, tmp_path):
 def test_companions_and_remap(spark):
     f = spark.createDataFrame([("/a/b/c/x.csv",), ("/a/q.csv",), ("/n.csv",)], "path string")
     there = spark.createDataFrame([("/a/lib/x.tsp",), ("/a/b/lib/x.tsp",), ("/a/q.tsp",)], "path string")
-    assert {tuple(r) for r in listing.companions(f, there, "path", "tsp").collect()} == {("/a/b/c/x.csv", "/a/b/lib/x.tsp"), ("/a/q.csv", "/a/q.tsp")}
+    assert {tuple(r) for r in listing.companions(f, there, "path", "tsp").collect()} == {("/a/b/c/x.csv", "/a/b/lib/x.tsp")}  # folders `lib` only
+    assert {tuple(r) for r in listing.companions(f, there, "path", "tsp", folder=None).collect()} == {("/a/q.csv", "/a/q.tsp")}
+    f = spark.createDataFrame([("/a/b/1_x_append2.csv",), ("/a/b/x_append.csv",), ("/a/b/2_y.csv",), ("/1/2/3/4/5/6/x.csv",)], "path string")
+    there = spark.createDataFrame([("/a/b/lib/x.tsp",), ("/a/b/lib/1_x.tsp",), ("/a/lib/2_y.tsp",), ("/a/b/lib/y.tsp",), ("/1/lib/x.tsp",)], "path string")
+    got = {tuple(r) for r in listing.companions(f, there, "path", "tsp").collect()}
+    assert got == {("/a/b/1_x_append2.csv", "/a/b/lib/1_x.tsp"), ("/a/b/x_append.csv", "/a/b/lib/x.tsp"), ("/a/b/2_y.csv", "/a/lib/2_y.tsp")}
     old = spark.createDataFrame([(1, "p1", "h1", "a"), (2, "p2", "h2", "b"), (3, None, None, "c")], "id int, path string, hash string, v string")
     new = spark.createDataFrame([("p1", "h9", "A"), ("p9", "h2", "B")], "path string, hash string, v string")
     assert {r.id: (r.v, r.changed) for r in listing.remapped(old, new, "path", "hash", "v").collect()} == {1: ("A", True), 2: ("B", True), 3: ("c", False)}
