@@ -17,6 +17,12 @@ def p1_table(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.consistent_table(table(spark, d, "baselines_metadata"), table(spark, d, "file_samples"), table(spark, d, "header_names"))
 
 
+def p1_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The consistent table with a row for each cell."""
+    c = schema_drift.consistent_cells(table(spark, d, "baselines_metadata"), table(spark, d, "file_samples"), table(spark, d, "header_names"))
+    return c.groupBy("metadata_id", "row_no", "step", "field_name").agg(F.max("value").alias("value"))
+
+
 def p1_versions(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.versions(table(spark, d, "baselines_metadata"), table(spark, d, "file_samples"), table(spark, d, "header_names"))
 
@@ -92,6 +98,16 @@ r AS (SELECT experiment, measurement_category, measured_on, field_name, 'added'
 SELECT experiment, measurement_category, CAST(measured_on AS VARCHAR) AS measured_on, field_name, change FROM r
 """
 
+#: Straight from header base to field, whatever the versions say.
+P1_CELLS_SQL = r"""
+WITH h AS (SELECT id, columns, CASE WHEN contains(columns, chr(9)) THEN chr(9) WHEN contains(columns, ';') THEN ';' WHEN contains(columns, '|') THEN '|' ELSE ',' END AS sep FROM baselines_metadata WHERE columns IS NOT NULL),
+n AS (SELECT lower(header_base) AS base, any_value(field_name) AS field_name FROM header_names GROUP BY 1), p AS (SELECT id, row_no, unnest(string_split(columns, sep)) AS head, unnest(string_split(cells, sep)) AS cell FROM h JOIN file_samples ON metadata_id = id WHERE len(string_split(columns, sep)) = len(string_split(cells, sep))),
+c AS (SELECT id, row_no, coalesce(try_cast(nullif(regexp_extract(head, '\(([0-9]+)\)', 1), '') AS INTEGER), 1) AS step, regexp_replace(lower(trim(regexp_replace(head, '\[[^\]]*\]|\([^)]*\)', '', 'g'))), '\s+', '_', 'g') AS base, trim(cell) AS cell FROM p WHERE trim(cell) <> '')
+SELECT id AS metadata_id, row_no, step, field_name, max(try_cast(replace(regexp_extract(cell, '^[<>~]?\s*([+-]?([0-9]+[.,]?[0-9]*|[.,][0-9]+)([eE][+-]?[0-9]+)?)', 1), ',', '.') AS DOUBLE)) AS value FROM c JOIN n USING (base) GROUP BY ALL
+"""
+P1_VERSIONS_SQL = P1_SQL[: P1_SQL.index("d AS (SELECT *, lag(measured_on)")].rstrip().rstrip(",") + """, v AS (SELECT experiment, measurement_category, measured_on, string_agg(field_name || ':' || bases || ':' || coalesce(kind, '?'), ';' ORDER BY field_name) AS fields FROM g GROUP BY ALL)
+SELECT experiment, measurement_category, CAST(measured_on AS VARCHAR) AS measured_on, row_number() OVER (PARTITION BY experiment, measurement_category ORDER BY measured_on) AS version, fields, md5(fields) AS fingerprint FROM v"""
+
 #: The specification's grammar: an optional scale, then the quantity's unit.
 P2_PARSED = r"""
 WITH u AS (SELECT 'device_library' AS table_name, CAST(id AS BIGINT) AS row_id, notes, unnest(['voltage_rating', 'rdson_mohm', 'current_rating_a']) AS field_name, unnest([voltage_rating, rdson_mohm, current_rating_a]) AS raw FROM device_library
@@ -114,7 +130,7 @@ FROM z WHERE regexp_matches(replace(spelling, '-', ''), rule)
 """
 
 QUERIES = {
-    "p1_found": p1_found, "p1_table": p1_table, "p1_versions": p1_versions, "p2_found": p2_found, "p2_aliases": p2_aliases, "p2_unmatched": p2_unmatched,
+    "p1_found": p1_found, "p1_table": p1_table, "p1_cells": p1_cells, "p1_versions": p1_versions, "p2_found": p2_found, "p2_aliases": p2_aliases, "p2_unmatched": p2_unmatched,
     "p5_found": p5_found, "p5_by_file": p5_by_file, "p7_found": p7_found, "p7_grid": p7_grid,
 }
-SQL = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_aliases": P2_ALIASES_SQL, "p2_unmatched": P2_UNMATCHED_SQL, "p7_found": P7_SQL}
+SQL = {"p1_found": P1_SQL, "p1_cells": P1_CELLS_SQL, "p1_versions": P1_VERSIONS_SQL, "p2_found": P2_SQL, "p2_aliases": P2_ALIASES_SQL, "p2_unmatched": P2_UNMATCHED_SQL, "p7_found": P7_SQL}

@@ -55,3 +55,15 @@ def test_consistent_table(spark):
     assert (got[1, 1].v_gate, got[1, 1].i_drain, got[1, 2].v_gate, got[1, 2].i_drain) == (1.0, 2.0, 3.0, None)
     assert got[2, 1].time_val == 15.0 and got[2, 1].v_gate is None
     assert "rename vgs > v_gate" in got[1, 1].rules and "cast i_drain" in got[1, 1].rules and "default time_val" in got[1, 1].rules
+
+
+def test_steps_are_chained_from_version_to_version(spark):
+    files = [(1, DAY[0], "Vgs", None), (2, DAY[1], "V_Gate,I_Drain", None), (3, DAY[2], "V_Gate,I_Drain", None), (4, DAY[3], "Vgs,I_Drain", None), (5, None, "Vgs", None)]
+    f, s, n = tables(spark, files, [(i, 0, c) for i, c in [(1, "1"), (2, "2,3"), (4, "4,5"), (5, "6")]])
+    rules = {r.metadata_id: r.rules.split("; ") for r in sd.consistent_table(f, s, n).collect()}
+    day = lambda k: DAY[k].isoformat()
+    assert rules[1] == [f"rename vgs > v_gate @ {day(1)}", f"rename v_gate > vgs @ {day(3)}", "rename vgs > v_gate", "default i_drain", "default time_val"]
+    assert rules[2] == [f"rename v_gate > vgs @ {day(3)}", "rename vgs > v_gate", "default time_val"]
+    assert rules[4] == ["rename vgs > v_gate", "default time_val"] and rules[5] == ["rename vgs > v_gate", "default i_drain", "default time_val"]
+    v = sd.fingerprints(f, s, n)
+    assert {(r.version, r.change) for r in sd.steps(v).collect()} == {(2, "renamed"), (2, "added"), (4, "renamed")}  # version 3 has the fingerprint of 2
