@@ -2,7 +2,8 @@
 
 Two strings within K edits share, unchanged and shifted by at most K, one of any K + 1 segments of one of them. Each
 canonical entry is cut into K + 1 segments; a typed value gives the substrings that stand at those positions, shifted by
--K to K, for every length an entry may have; equal segments meet in a hash join, and levenshtein verifies. Only distinct
+-K to K, for every length an entry may have; equal segments meet in a hash join, and levenshtein verifies. Entries of K
+characters or fewer have empty segments, which all values of at most 2 K characters share. Only distinct
 typed values are compared, so a value typed in a third of all rows is compared once. Rules (a fixed, small table) come
 first, as an array in a scalar subquery. What nothing fits is reported through an anti-join.
 
@@ -59,12 +60,12 @@ SELECT device_id, source, best.part_number FROM (
 NEAREST = f"""
 WITH ref AS (SELECT part_number, regexp_replace(upper(part_number), '{SEPARATORS}', '') AS folded FROM {{library}} WHERE part_number IS NOT NULL),
 seg AS (SELECT part_number, folded, n, i, substr(folded, i * n div {K + 1} + 1, (i + 1) * n div {K + 1} - i * n div {K + 1}) AS piece
-        FROM (SELECT *, length(folded) AS n FROM ref) LATERAL VIEW explode(sequence(0, {K})) x AS i WHERE n > {K}),
+        FROM (SELECT *, length(folded) AS n FROM ref) LATERAL VIEW explode(sequence(0, {K})) x AS i WHERE n > 0),
 q AS (SELECT DISTINCT folded FROM {{open}} WHERE folded <> ''),
 probe AS (SELECT DISTINCT folded, n, i, substr(folded, CAST(i * n div {K + 1} + 1 + d AS INT), CAST((i + 1) * n div {K + 1} - i * n div {K + 1} AS INT)) AS piece
           FROM q LATERAL VIEW explode(sequence(length(folded) - {K}, length(folded) + {K})) y AS n
                  LATERAL VIEW explode(sequence(0, {K})) x AS i LATERAL VIEW explode(sequence(-{K}, {K})) z AS d
-          WHERE n > {K} AND i * n div {K + 1} + 1 + d >= 1 AND (i + 1) * n div {K + 1} + d <= length(folded)),
+          WHERE n > 0 AND i * n div {K + 1} + 1 + d >= 1 AND (i + 1) * n div {K + 1} + d <= length(folded)),
 pair AS (SELECT DISTINCT p.folded, s.part_number, s.folded AS entry FROM probe p JOIN seg s ON p.n = s.n AND p.i = s.i AND p.piece = s.piece),
 near AS (SELECT folded, part_number, levenshtein(folded, entry, {K}) AS edits FROM pair),
 best AS (SELECT folded, min(struct(edits, part_number)) AS least, min(edits) AS edits FROM near WHERE edits >= 0 GROUP BY folded)

@@ -1,6 +1,7 @@
 """Mixing sources to target shares by Sainte-Lague apportionment of equal blocks of tokens.
 
-The size of the mix is the tokens of all sources with a target and documents (or a given number). It is cut into blocks of
+The size of the mix is the tokens of all sources with a target and documents, a given number, or the largest at which
+no source's cap keeps it from its share. It is cut into blocks of
 BLOCK tokens; each block goes to the source with the highest quotient share / (2 * blocks + 1) that still has capacity
 (its tokens times max_repeats). A source's blocks are apportioned to its shards in the same way, by their tokens. In a
 shard, documents come in a seeded order: whole passes over the shard first, then the documents up to the quota.
@@ -52,14 +53,26 @@ def apportion(blocks: int, weights: list[float], caps: list[int]) -> list[int]:
     return n
 
 
-def mix(docs: DataFrame, targets: DataFrame, tokens: int | None = None, seed: int = 42, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, source, n_tokens, repeats) of the selected documents."""
+def _sources(counted: DataFrame, targets: DataFrame) -> list:
+    """(source, share, most, have) of every target with documents; one row per target."""
+    return sorted(targets.join(counted.groupBy("source").agg(F.sum("n_tokens").alias("have")), "source").collect())
+
+
+def largest_feasible(rows: list) -> int:
+    """The most tokens of which every source with documents can give its share (of those sources' shares) within its cap."""
+    whole = sum(r.share for r in rows)
+    return min((int(r.have * r.most * whole / r.share) for r in rows if r.share > 0), default=0)
+
+
+def mix(docs: DataFrame, targets: DataFrame, tokens: int | str | None = None, seed: int = 42, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, source, n_tokens, repeats) of the selected documents. tokens: the size, by default that of all documents of
+    a source with a target; `feasible` is the largest size at which every source reaches its share."""
     spark = docs.sparkSession
     t = targets.filter("source IS NOT NULL").groupBy("source").agg(F.sum(F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0))).alias("share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("most"))
     counted = count_tokens(docs.select("doc_id", "source", "text").join(t.select("source"), "source", "left_semi"), vocabulary=vocabulary)
     counted = materialize(counted.filter("n_tokens > 0"), "counted")
-    rows = sorted(t.join(counted.groupBy("source").agg(F.sum("n_tokens").alias("have")), "source").collect())  # one row per target
-    total = sum(r.have for r in rows) if tokens is None else tokens
+    rows = _sources(counted, t)
+    total = largest_feasible(rows) if tokens == "feasible" else sum(r.have for r in rows) if tokens is None else tokens
     quota = apportion(total // BLOCK, [r.share for r in rows], [-(-r.have * r.most // BLOCK) for r in rows])
     plan = {r.source: (q, r.most, min(MOST_SHARDS, -(-r.have // SHARD_TOKENS))) for r, q in zip(rows, quota)}
     shards = spark.createDataFrame([(s, p[2]) for s, p in plan.items()], "source string, shards int")

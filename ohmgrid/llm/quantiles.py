@@ -146,21 +146,33 @@ def digest(values: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def _squeeze(groups: list[str]) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)  # subtrees of bounded size
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
+    """Compresses subtrees that come one after another; whole ones are handed on, so about GATHER nodes are held at once."""
+
+    def done(t: pa.Table) -> pa.RecordBatch:
         get = lambda n: t.column(n).combine_chunks().to_numpy(zero_copy_only=False)
-        gid = get("gid").astype(np.int64)
-        own, place = np.unique(gid, return_inverse=True)
+        own, place = np.unique(get("gid").astype(np.int64), return_inverse=True)
         most = np.zeros(len(own))
         most[place] = np.floor(get("n") / K)
         g, k, c = compress(place, get("node"), get("count"), most, top=BITS - SUBTREE)
         first = np.zeros(len(own), np.int64)
         first[place[::-1]] = np.arange(len(place))[::-1]
         cols = [t.column(f).combine_chunks().take(pa.array(first[g])) for f in groups]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(k), pa.array(c)], [*groups, "node", "count"])
+        return pa.RecordBatch.from_arrays([*cols, pa.array(k), pa.array(c)], [*groups, "node", "count"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= GATHER:
+                t = pa.Table.from_batches(held)
+                gid, root = (t.column(n).combine_chunks().to_numpy(zero_copy_only=False) for n in ("gid", "root"))
+                other = np.flatnonzero((gid != gid[-1]) | (root != root[-1]))
+                cut = int(other[-1]) + 1 if len(other) else 0
+                if cut:
+                    yield done(t.slice(0, cut))
+                held = t.slice(cut).to_batches()
+        if held:
+            yield done(pa.Table.from_batches(held))
 
     return run
 
@@ -173,7 +185,8 @@ def merge(nodes: DataFrame, groups: list[str]) -> DataFrame:
     keyed = added.join(total, [F.col(g).eqNullSafe(F.col(f"of_{g}")) for g in groups]).select(*groups, "node", "count", "n", "gid")
     depth = F.floor(F.log2(F.col("node").cast("double")))
     root = F.when(depth > BITS - SUBTREE, F.floor(F.col("node") / F.pow(F.lit(2.0), depth - (BITS - SUBTREE)))).otherwise(-1)
-    return keyed.repartition(F.col("gid"), root).mapInArrow(_squeeze(groups), _schema(nodes, groups))
+    keyed = keyed.withColumn("root", root.cast("long")).repartition("gid", "root").sortWithinPartitions("gid", "root")
+    return keyed.mapInArrow(_squeeze(groups), _schema(nodes, groups))
 
 
 def quantiles(nodes: DataFrame, groups: list[str], at: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:

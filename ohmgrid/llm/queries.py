@@ -63,6 +63,12 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.mix(table(spark, d, "documents"), targets), targets)
 
 
+def p9_feasible_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares of the largest mix in which every source with documents reaches its target."""
+    targets = table(spark, d, "mix_targets")
+    return mixing.shares(mixing.mix(table(spark, d, "documents"), targets, tokens="feasible"), targets)
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.SharedSpans(table(spark, d, "documents")).pairs()
 
@@ -87,7 +93,7 @@ def p10_sets(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p3_found": p3_found, "p3_batches": p3_batches, "p4_found": p4_found, "p6_quantiles": p6_quantiles, "p6_digests": p6_digests,
-    "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_spans": p10_spans,
+    "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_feasible_shares": p9_feasible_shares, "p10_found": p10_found, "p10_spans": p10_spans,
     "p10_portions": p10_portions, "p10_classes": p10_classes, "p10_sets": p10_sets,
 }
 P3_SQL = r"""

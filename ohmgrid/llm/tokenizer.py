@@ -1,10 +1,12 @@
 """Encoding texts by a public byte-level BPE vocabulary, without a regular expression.
 
 The UTF-8 buffer of an Arrow batch is looked at as a whole: each code point gets a class (letter, number, space, other)
-from a table, runs of a class come from an associative scan, and a few rules on neighbouring runs give every piece
-boundary (a blank before a word, contractions, the last of several spaces). Pieces are hashed from prefix sums, equal
-ones are merged once through a bounded cache of pair merges, and the ids are gathered back in order. Byte offsets of the
-tokens follow from the lengths of their bytes, so every encoding can be decoded and held against its text.
+from a table and, from the code points behind it, a symbol (the last space before a word, the begin of a contraction).
+Each symbol is a transition function over the eight states of an automaton; composing functions is associative, so the
+state before every code point comes from a scan: functions are composed along all blocks side by side, then over the
+blocks, and the states are run through once more. Symbol and state tell whether a piece begins. Pieces are hashed from
+prefix sums, equal ones are merged once through a bounded cache of pair merges, and the ids are gathered back in order.
+Byte offsets of the tokens are kept, so every encoding can be decoded and held against its text.
 
 Defined results: null and empty texts have an empty list; blank texts have the ids of their blanks; repeated rows are
 encoded each; a text of any length is encoded whole (one beyond PART bytes is first cut at blanks that always part two
@@ -14,6 +16,7 @@ tokens); an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import base64
+import heapq
 import sys
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -29,6 +32,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Bytes looked at together; pieces kept in the cache of merges before it starts anew.
 PART, CACHE = 1 << 20, 200_000
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
+OTHER_SYMBOL = 2
 #: Characters of class space beyond the separators of Unicode.
 SPACES = "\t\n\x0b\x0c\r\x85"
 #: What follows an apostrophe in a contraction.
@@ -53,6 +57,68 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+#: Symbols: a code point by class, an apostrophe before a contraction of one or two letters, a space before another space
+#: or the end, the last blank before something else, any other last space. From FRESH on: the same at a text's begin.
+ONE, TWO, MORE, BLANK, LAST, FRESH = 3, 4, 5, 6, 7, 8
+#: States: within letters, numbers, others, spaces; behind a blank that joins; one or two letters of a contraction to come;
+#: behind a contraction.
+IN_SPACE, JOINED, C1, C2, BEHIND = 3, 4, 5, 6, 7
+#: Code points that a block of the scan covers.
+SCAN = 256
+
+
+@lru_cache(1)
+def automaton() -> tuple[np.ndarray, np.ndarray]:
+    """State after each (symbol, state), and whether a piece begins there."""
+    to, begins = np.zeros((2 * FRESH, 8), np.uint8), np.ones((2 * FRESH, 8), bool)
+    for sym in range(FRESH):
+        for state in range(8):
+            go, new = {MORE: IN_SPACE, BLANK: JOINED, LAST: IN_SPACE, ONE: C1, TWO: C2}.get(sym, sym), True
+            if sym == LETTER and state in (C1, C2):
+                go, new = (BEHIND if state == C1 else C1), False
+            elif sym in (LETTER, NUMBER):
+                new = state not in (sym, JOINED)
+            elif sym in (OTHER_SYMBOL, ONE, TWO) and state in (OTHER_SYMBOL, JOINED):
+                go, new = OTHER_SYMBOL, False
+            elif sym == MORE:
+                new = state != IN_SPACE
+            to[sym, state], begins[sym, state] = go, new
+        to[FRESH + sym] = to[sym, BEHIND]
+    return to, begins
+
+
+def states(symbols: np.ndarray) -> np.ndarray:
+    """The state before every symbol, by an associative scan over the symbols' transition functions."""
+    to, _ = automaton()
+    n = len(symbols)
+    if n <= SCAN:
+        out = np.empty(n, np.uint8)
+        state = BEHIND
+        for i, sym in enumerate(symbols.tolist()):
+            out[i] = state
+            state = to[sym, state]
+        return out
+    blocks = -(-n // SCAN)
+    grid = np.full(blocks * SCAN, FRESH, np.uint8)
+    grid[:n] = symbols
+    grid = np.ascontiguousarray(grid.reshape(blocks, SCAN).T)
+    flat = to.ravel()
+    total = np.broadcast_to(np.arange(8, dtype=np.uint8), (blocks, 8))
+    for row in grid:  # the function of each block
+        total = flat[(row[:, None].astype(np.intp) << 3) + total]
+    reach = total.copy()
+    k = 1
+    while k < blocks:  # of all blocks up to each
+        reach[k:] = np.take_along_axis(reach[k:], reach[:-k].astype(np.intp), 1)
+        k *= 2
+    state = np.append(np.uint8(BEHIND), reach[:-1, BEHIND])
+    out = np.empty((SCAN, blocks), np.uint8)
+    for j, row in enumerate(grid):
+        out[j] = state
+        state = flat[(row.astype(np.intp) << 3) + state]
+    return out.T.reshape(-1)[:n]
+
+
 def boundaries(buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Byte positions in the UTF-8 buffer at which pieces begin; starts: first byte of each text that is not empty."""
     at = np.flatnonzero((buf & 0xC0) != 0x80)
@@ -62,36 +128,21 @@ def boundaries(buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
     first = np.zeros(n + 1, bool)
     first[np.searchsorted(at, starts)] = True
     first[n] = True
-    turn = first[:n].copy()
-    turn[1:] |= cls[1:] != cls[:-1]
-    run = np.flatnonzero(turn)
-    end = np.append(run[1:], n)
-    size, kind, final = end - run, cls[run], first[end]
-    blank_end = cp[end - 1] == 0x20
-    joins = (kind == SPACE) & ~final & blank_end  # its last blank belongs to the next piece
-    joined = np.append(False, joins[:-1])
-    begin = ~joined
-    extra = [end[(kind == SPACE) & ~final & (size > 1)] - 1]
-    # contractions: a single apostrophe at the begin of a piece, letters after it in the same text
-    tick = np.flatnonzero((kind == OTHER) & (size == 1) & (cp[run] == 0x27) & ~joined & ~final)
-    tick = tick[kind[tick + 1] == LETTER]
-    if len(tick):
-        word, room = run[tick + 1], size[tick + 1]
-        take = np.zeros(len(tick), int)
-        for c in CONTRACTIONS:
-            hit = (take == 0) & (room >= len(c))
-            for k, ch in enumerate(c):
-                hit &= cp[np.minimum(word + k, n - 1)] == ord(ch)
-            take[hit] = len(c)
-        short = take > 0
-        begin[tick[short] + 1] = False
-        rest = short & (take < room)
-        extra.append(word[rest] + take[rest])
-    out = np.zeros(n, bool)
-    out[run[begin]] = True
-    for x in extra:
-        out[x] = True
-    return at[out]
+    symbol = np.where(cls == OTHER, OTHER_SYMBOL, cls).astype(np.uint8)
+    space = cls == SPACE
+    last = space & ~first[1:]
+    last[:-1] &= ~space[1:]
+    symbol[space] = MORE
+    symbol[last] = np.where(cp[last] == 0x20, BLANK, LAST)
+    tick = np.flatnonzero(cp == 0x27)
+    for c in CONTRACTIONS:
+        own = tick[tick + len(c) < n]
+        hit = np.ones(len(own), bool)
+        for k, ch in enumerate(c, 1):
+            hit &= (cp[own + k] == ord(ch)) & ~first[own + k]
+        symbol[own[hit]] = ONE if len(c) == 1 else TWO
+    symbol[first[:n]] += FRESH
+    return at[automaton()[1][symbol, states(symbol)]]
 
 
 class Encoder:
@@ -100,15 +151,6 @@ class Encoder:
     def __init__(self, vocabulary: bytes):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines()) if a}
         self.cache: dict[bytes, list[int]] = {}
-        self.merge = self.merge_pairs
-        try:
-            import tiktoken
-
-            core = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=self.ranks, special_tokens={})._core_bpe
-            if core.encode_single_piece(b" the") == self.merge_pairs(b" the"):
-                self.merge = core.encode_single_piece
-        except (ImportError, AttributeError):
-            pass
 
     def token_bytes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bytes of all tokens one after another, and the begin and length of each by id."""
@@ -120,14 +162,29 @@ class Encoder:
         return self._bytes
 
     def merge_pairs(self, piece: bytes) -> list[int]:
-        """The pair of lowest rank is merged, again and again, the first of equals first."""
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            rank, i = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if rank == 1 << 60:
-                break
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ranks[p] for p in parts]
+        """The pair of lowest rank is merged, again and again, the first of equals first: candidate pairs wait in a heap,
+        parts are a linked list, so a piece of n bytes takes n log n steps."""
+        rank, n = self.ranks.get, len(piece)
+        end, before = list(range(1, n + 1)), list(range(-1, n))  # of the part that begins at i; -1: merged away
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, stop = heapq.heappop(heap)
+            j = end[i]
+            if j < 0 or j >= n or end[j] != stop:  # one of the two has been merged since
+                continue
+            end[i], end[j] = stop, -1
+            if stop < n:
+                before[stop] = i
+                if (r := rank(piece[i : end[stop]])) is not None:
+                    heapq.heappush(heap, (r, i, end[stop]))
+            if (p := before[i]) >= 0 and (r := rank(piece[p:stop])) is not None:
+                heapq.heappush(heap, (r, p, stop))
+        out, i = [], 0
+        while i < n:
+            out.append(self.ranks[piece[i : end[i]]])
+            i = end[i]
+        return out
 
     def piece(self, b: bytes) -> list[int]:
         ids = self.cache.get(b)
@@ -135,7 +192,7 @@ class Encoder:
             if len(self.cache) >= CACHE:
                 self.cache.clear()
             ids = self.ranks.get(b)
-            ids = self.cache[b] = [ids] if ids is not None else self.merge(b)
+            ids = self.cache[b] = [ids] if ids is not None else self.merge_pairs(b)
         return ids
 
     def part(self, data: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -68,3 +68,8 @@ def test_pigeonhole_loses_nothing(spark, seed):
         fit = near[0][0] <= canonical.K and (len(near) == 1 or near[1][0] > near[0][0])
         want.append(None if t in entries or not t else near[0][1] if fit else "UNMATCHED")
     assert answers(spark, [(t, None) for t in typed], [(e, None) for e in entries], []) == want
+
+
+def test_short_entries_are_entries(spark):
+    library = [("Q7", None), ("A", None), ("NH120R080T2B", None)]
+    assert answers(spark, [("q-7", None), ("Q77", None), ("Q7XY", None), ("NH120R", None), ("Q7XYZ", None)], library) == ["Q7", "Q7", "Q7", "UNMATCHED", "UNMATCHED"]

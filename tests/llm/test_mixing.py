@@ -50,6 +50,13 @@ def test_shares_repeats_and_caps(spark):
     assert got["none"].tokens == 0 and got["none"].actual_share == 0.0
 
 
+def test_largest_feasible_mix_reaches_every_share(spark):
+    docs, targets = tables(spark, [("a", 300), ("b", 60), ("c", 5)], [("a", 0.5, 1), ("b", 0.4, 3), ("c", 0.1, 2), ("none", 0.0, 5)])
+    got = {r.source: r for r in mixing.shares(mixing.mix(docs, targets, tokens="feasible"), targets).collect()}
+    assert abs(sum(r.tokens for r in got.values()) - 20_000) <= 4 * 256  # c has 2,000 for a tenth
+    assert all(abs(r.actual_share - r.target_share) < 0.02 for r in got.values())
+
+
 def test_same_seed_same_selection(spark):
     docs, targets = tables(spark, [("a", 50), ("b", 50)], [("a", 0.2, 1), ("b", 0.8, 1)])
     pick = lambda seed: sorted(map(tuple, mixing.mix(docs, targets, tokens=5000, seed=seed).collect()))

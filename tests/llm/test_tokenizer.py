@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -58,9 +60,34 @@ def test_any_text_round_trips(own, texts):
     assert [b"".join(order[i] for i in ids).decode() for ids in encode(own, texts)] == texts
 
 
-def test_pair_merging_without_the_library(own):
-    for piece in (b" the", b" threshold", "µΩ".encode(), b"aaaaaaaaa", b"\xff\xfe"):
-        assert own.merge_pairs(piece) == own.merge(piece)
+def plain_merges(own, piece):
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while len(parts) > 1:
+        rank, i = min((own.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+        if rank == 1 << 60:
+            break
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return [own.ranks[p] for p in parts]
+
+
+def test_pair_merging_is_the_plain_process(own):
+    rng = random.Random(5)
+    pieces = [b" the", b" threshold", "µΩ".encode(), b"aaaaaaaaa", b"\xff\xfe"] + [bytes(rng.choice(b"abcest ion012\xc3\xa9") for _ in range(rng.randint(1, 40))) for _ in range(500)]
+    for piece in pieces:
+        assert own.merge_pairs(piece) == plain_merges(own, piece)
+    assert len(own.merge_pairs(b"ab" * 100_000)) > 1000  # in seconds, not in hours
+
+
+def test_scan_equals_the_states_one_after_another():
+    rng = np.random.default_rng(6)
+    to, _ = tk.automaton()
+    for n in (1, 255, 256, 257, 5000, 70_001):
+        symbols = rng.integers(0, 2 * tk.FRESH, n).astype(np.uint8)
+        state, want = tk.BEHIND, []
+        for s in symbols.tolist():
+            want.append(state)
+            state = to[s, state]
+        assert tk.states(symbols).tolist() == want
 
 
 def test_long_text_is_whole(own, library, monkeypatch):
