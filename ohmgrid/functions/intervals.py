@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 
 def overlap(low1: str, high1: str, low2: str, high2: str) -> Column:
-    """strong (half of the shorter one or more), partial, near (a gap no wider than the shorter one), far or missing."""
+    """strong_overlap (half of the shorter one or more), partial_overlap, near_miss (a gap no wider than the shorter one),
+    far_miss or missing_interval."""
     a, b, c, d = map(F.col, (low1, high1, low2, high2))
     bad = a.isNull() | b.isNull() | c.isNull() | d.isNull() | (a > b) | (c > d)
     common, shorter = F.least(b, d) - F.greatest(a, c), F.least(b - a, d - c)
-    return F.when(bad, "missing").when(common >= 0, F.when(common >= 0.5 * shorter, "strong").otherwise("partial")).when(-common <= shorter, "near").otherwise("far")
+    return F.when(bad, "missing_interval").when(common >= 0, F.when(common >= 0.5 * shorter, "strong_overlap").otherwise("partial_overlap")).when(-common <= shorter, "near_miss").otherwise("far_miss")
 
 
 def log_interval(value: Column, sigma: Column, k: float = 1.0) -> Column:

@@ -43,3 +43,24 @@ def category(c: Column) -> Column:
     for name, p in reversed(CATEGORIES):
         out = F.when(F.rlike(c, F.lit(p)), name).otherwise(out)
     return F.when(c.isNotNull(), out)
+
+
+def avalanche_counter(name: Column, known: Column) -> Column:
+    """(index, basis) of a pulse: the known index, else the counter behind `Vg` in a file's name (its last five digits), or
+    the five digits and more behind a current `..A`; null without one."""
+    stem = F.regexp_replace(F.regexp_extract(name, r"([^/\\]*)$", 1), r"\.[^.]*$", "")
+    gate = F.get(F.filter(F.regexp_extract_all(stem, F.lit(r"(?i)Vg([^_/\\.]+)"), F.lit(1)), lambda t: F.rlike(t, F.lit("^[+-]?[0-9]{6,}$"))), F.lit(0))
+    current = F.nullif(F.regexp_extract(stem, r"(?i)(?:^|_)[0-9]+(?:[p.][0-9]+)?A([0-9]{5,})(?:_|$)", 1), F.lit(""))
+    return _counter((known, "avalanche_shot_index_metadata"), (F.right(gate, F.lit(5)), "avalanche_filename_vg_counter"), (current, "avalanche_filename_current_counter"))
+
+
+def sc_counter(path: Column, known: Column) -> Column:
+    """(index, basis) of a pulse: the known index, else the number behind `pulse`, or in front of `_after<n>V`; null without."""
+    space = F.concat(F.lit("/"), F.translate(path, "\\", "/"))
+    pulse = F.nullif(F.regexp_extract(space, r"(?i)(?:^|[^A-Za-z0-9])pulse[_-]?([0-9]+)(?:[^A-Za-z0-9]|$)", 1), F.lit(""))
+    after = F.nullif(F.regexp_extract(space, r"(?i)(?:^|/)([0-9]+)_after[0-9]+V", 1), F.lit(""))
+    return _counter((known, "sc_sequence_num_metadata"), (pulse, "sc_filename_pulse_counter"), (after, "sc_filename_after_counter"))
+
+
+def _counter(*found: tuple[Column, str]) -> Column:
+    return F.coalesce(*(F.when(c.isNotNull(), F.struct(c.try_cast("int").alias("index"), F.lit(basis).alias("basis"))) for c, basis in found))

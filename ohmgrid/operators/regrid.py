@@ -7,7 +7,9 @@ row of the next occupied span through a second lead() over one row per span. No
 Defined results: a null, NaN or overflowed (1e30 or more) time_val does not count; a file without positive delay_time has
 no grid; null channels stay null and are interpolated only between two readings that have them; repeated rows fall into
 one slot; ties of time in a slot are broken by the row's values; the grid starts at the first and ends at the last
-occupied slot of the file; empty tables give an empty grid; extra columns are ignored.
+occupied slot of the file, or is extended to given bounds by marked slots without values (bounds inside the readings
+extend nothing, a null bound extends nothing on its side, and a file without a reading is not extended); empty tables give an empty grid; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -63,8 +65,9 @@ def missing_slots(points: DataFrame, files: DataFrame) -> DataFrame:
     return pairs.filter((gap >= 1) & (gap <= PAUSE)).select("metadata_id", F.explode(F.sequence(F.col("slot") + 1, F.col("next_slot") - 1)).alias("slot"))
 
 
-def regular_series(points: DataFrame, files: DataFrame) -> DataFrame:
-    """The whole grid: (metadata_id, slot, grid_time, status, channels), status `read`, `filled` or `pause`.
+def regular_series(points: DataFrame, files: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
+    """The whole grid: (metadata_id, slot, grid_time, status, channels), status `read`, `filled` or `pause`, and with bounds
+    (metadata_id, first_slot, last_slot) also `before` and `after` the readings.
 
     A read slot has the last valid state of its last reading; a filled one the straight line from the last reading before
     to the first after, at the slot's begin; a pause has nulls.
@@ -80,6 +83,19 @@ def regular_series(points: DataFrame, files: DataFrame) -> DataFrame:
     fill = gap <= PAUSE
     w = (time(F.col("s")) - F.col("last.time_val")) / (F.col("next_first.time_val") - F.col("last.time_val"))
     line = [F.when(fill, F.col(f"last.{c}") + w * (F.col(f"next_first.{c}") - F.col(f"last.{c}"))).alias(c) for c in CHANNELS]
-    return read.unionByName(
+    grid = read.unionByName(
         made.select("metadata_id", F.col("s").alias("slot"), time(F.col("s")).alias("grid_time"), F.when(fill, "filled").otherwise("pause").alias("status"), *line)
     )
+    return grid if bounds is None else grid.unionByName(_extended(slots, bounds))
+
+
+def _extended(slots: DataFrame, bounds: DataFrame) -> DataFrame:
+    """The slots between each file's bounds and its first and last occupied slot, PIECE at most from one row."""
+    edges = slots.groupBy("metadata_id").agg(F.min("slot").alias("low"), F.max("slot").alias("high"), F.first("delay_time").alias("delay_time"))
+    j = join_dimension(edges, bounds.select("metadata_id", F.col("first_slot").cast("long").alias("first_slot"), F.col("last_slot").cast("long").alias("last_slot")), "metadata_id")
+    side = lambda name, a, b: F.when(a <= b, F.struct(F.lit(name).alias("status"), a.alias("a"), b.alias("b")))
+    sides = F.array_compact(F.array(side("before", F.col("first_slot"), F.col("low") - 1), side("after", F.col("high") + 1, F.col("last_slot"))))
+    e = j.select("metadata_id", "delay_time", F.inline(sides)).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("b") - F.col("a")) / PIECE))))
+    low = F.col("a") + F.col("piece") * PIECE
+    e = e.withColumn("slot", F.explode(F.sequence(low, F.least(low + PIECE - 1, F.col("b")))))
+    return e.select("metadata_id", "slot", (F.col("delay_time") * F.col("slot")).alias("grid_time"), "status", *(F.lit(None).cast("double").alias(c) for c in CHANNELS))

@@ -63,6 +63,14 @@ def p7_grid(spark: SparkSession, d: str) -> DataFrame:
     return regrid.regular_series(table(spark, d, "baselines_measurements"), table(spark, d, "baselines_metadata"))
 
 
+def p7_bounded(spark: SparkSession, d: str) -> DataFrame:
+    """The grid from slot 0 to the number of points that a file announces, counted by status."""
+    files = table(spark, d, "baselines_metadata")
+    bounds = files.select(F.col("id").alias("metadata_id"), F.lit(0).alias("first_slot"), (F.col("num_points") - 1).alias("last_slot"))
+    g = regrid.regular_series(table(spark, d, "baselines_measurements"), files, bounds)
+    return g.groupBy("metadata_id", "status").agg(F.count("*").alias("slots"), F.min("slot").alias("first"), F.max("slot").alias("last"))
+
+
 P7_SQL = """
 WITH s AS (
   SELECT DISTINCT p.metadata_id, CAST(floor(p.time_val / m.delay_time) AS BIGINT) AS slot
@@ -72,6 +80,19 @@ n AS (SELECT metadata_id, slot, lead(slot) OVER (PARTITION BY metadata_id ORDER
 SELECT metadata_id, unnest(range(slot + 1, nxt)) AS slot FROM n WHERE nxt - slot - 1 BETWEEN 1 AND 100
 """
 
+P7_GRID = """
+WITH v AS (SELECT p.metadata_id, m.delay_time AS dt, CAST(floor(p.time_val / m.delay_time) AS BIGINT) AS slot, p.time_val AS t, CASE WHEN abs(v_gate) < 1e30 THEN v_gate END AS v_gate, CASE WHEN abs(i_gate) < 1e30 THEN i_gate END AS i_gate, CASE WHEN abs(v_drain) < 1e30 THEN v_drain END AS v_drain, CASE WHEN abs(i_drain) < 1e30 THEN i_drain END AS i_drain
+  FROM baselines_measurements p JOIN baselines_metadata m ON m.id = p.metadata_id WHERE m.delay_time > 0 AND abs(p.time_val) < 1e30 AND NOT isnan(p.time_val)),
+o AS (SELECT *, row_number() OVER (PARTITION BY metadata_id, slot ORDER BY t, v_gate NULLS FIRST, i_gate NULLS FIRST, v_drain NULLS FIRST, i_drain NULLS FIRST) AS f, row_number() OVER (PARTITION BY metadata_id, slot ORDER BY t DESC, v_gate DESC NULLS LAST, i_gate DESC NULLS LAST, v_drain DESC NULLS LAST, i_drain DESC NULLS LAST) AS l FROM v),
+a AS (SELECT * FROM o WHERE l = 1), b AS (SELECT * FROM o WHERE f = 1),
+n AS (SELECT a.*, lead(a.slot) OVER w AS nxt, lead(b.t) OVER w AS nt, lead(b.v_gate) OVER w AS nv_gate, lead(b.i_gate) OVER w AS ni_gate, lead(b.v_drain) OVER w AS nv_drain, lead(b.i_drain) OVER w AS ni_drain FROM a JOIN b ON b.metadata_id = a.metadata_id AND b.slot = a.slot WINDOW w AS (PARTITION BY a.metadata_id ORDER BY a.slot)),
+m AS (SELECT *, unnest(range(slot + 1, nxt)) AS s FROM n WHERE nxt > slot + 1), k AS (SELECT *, (dt * s - t) / (nt - t) AS w, nxt - slot - 1 <= 100 AS fill FROM m),
+g AS (SELECT metadata_id, slot, dt * slot AS grid_time, 'read' AS status, v_gate, i_gate, v_drain, i_drain FROM a UNION ALL SELECT metadata_id, s, dt * s, CASE WHEN fill THEN 'filled' ELSE 'pause' END, CASE WHEN fill THEN v_gate + w * (nv_gate - v_gate) END, CASE WHEN fill THEN i_gate + w * (ni_gate - i_gate) END, CASE WHEN fill THEN v_drain + w * (nv_drain - v_drain) END, CASE WHEN fill THEN i_drain + w * (ni_drain - i_drain) END FROM k)
+"""
+P7_GRID_SQL = P7_GRID + "SELECT * FROM g"
+P7_BOUNDED_SQL = P7_GRID + """, e AS (SELECT metadata_id, min(slot) AS lo, max(slot) AS hi, any_value(num_points) AS np FROM a JOIN baselines_metadata f ON f.id = a.metadata_id GROUP BY 1)
+SELECT metadata_id, status, count(*) AS slots, min(slot) AS first, max(slot) AS last FROM g GROUP BY ALL UNION ALL SELECT metadata_id, 'before', lo, 0, lo - 1 FROM e WHERE lo > 0 UNION ALL SELECT metadata_id, 'after', np - 1 - hi, hi + 1, np - 1 FROM e WHERE np - 1 > hi"""
+
 P1_SQL = r"""
 WITH h AS (SELECT id, experiment, measurement_category, measured_on, columns, CASE WHEN contains(columns, chr(9)) THEN chr(9) WHEN contains(columns, ';') THEN ';' WHEN contains(columns, '|') THEN '|' ELSE ',' END AS sep
   FROM baselines_metadata WHERE columns IS NOT NULL AND experiment IS NOT NULL AND measurement_category IS NOT NULL AND measured_on IS NOT NULL),
@@ -131,6 +152,6 @@ FROM z WHERE regexp_matches(replace(spelling, '-', ''), rule)
 
 QUERIES = {
     "p1_found": p1_found, "p1_table": p1_table, "p1_cells": p1_cells, "p1_versions": p1_versions, "p2_found": p2_found, "p2_aliases": p2_aliases, "p2_unmatched": p2_unmatched,
-    "p5_found": p5_found, "p5_by_file": p5_by_file, "p7_found": p7_found, "p7_grid": p7_grid,
+    "p5_found": p5_found, "p5_by_file": p5_by_file, "p7_found": p7_found, "p7_grid": p7_grid, "p7_bounded": p7_bounded,
 }
-SQL = {"p1_found": P1_SQL, "p1_cells": P1_CELLS_SQL, "p1_versions": P1_VERSIONS_SQL, "p2_found": P2_SQL, "p2_aliases": P2_ALIASES_SQL, "p2_unmatched": P2_UNMATCHED_SQL, "p7_found": P7_SQL}
+SQL = {"p1_found": P1_SQL, "p1_cells": P1_CELLS_SQL, "p1_versions": P1_VERSIONS_SQL, "p2_found": P2_SQL, "p2_aliases": P2_ALIASES_SQL, "p2_unmatched": P2_UNMATCHED_SQL, "p7_found": P7_SQL, "p7_grid": P7_GRID_SQL, "p7_bounded": P7_BOUNDED_SQL}

@@ -158,9 +158,9 @@ def _(t):
 
 @query("join_interval_overlap", """
 WITH i AS (SELECT o_custkey, min(o_totalprice) AS low1, max(o_totalprice) AS high1, min(o_totalprice) FILTER (WHERE o_orderstatus = 'F') AS low2, max(o_totalprice) FILTER (WHERE o_orderstatus = 'F') AS high2 FROM orders GROUP BY 1)
-SELECT o_custkey, CASE WHEN low1 IS NULL OR high1 IS NULL OR low2 IS NULL OR high2 IS NULL OR low1 > high1 OR low2 > high2 THEN 'missing'
-  WHEN least(high1, high2) >= greatest(low1, low2) THEN CASE WHEN least(high1, high2) - greatest(low1, low2) >= 0.5 * least(high1 - low1, high2 - low2) THEN 'strong' ELSE 'partial' END
-  WHEN greatest(low1, low2) - least(high1, high2) <= least(high1 - low1, high2 - low2) THEN 'near' ELSE 'far' END AS overlap FROM i""")
+SELECT o_custkey, CASE WHEN low1 IS NULL OR high1 IS NULL OR low2 IS NULL OR high2 IS NULL OR low1 > high1 OR low2 > high2 THEN 'missing_interval'
+  WHEN least(high1, high2) >= greatest(low1, low2) THEN CASE WHEN least(high1, high2) - greatest(low1, low2) >= 0.5 * least(high1 - low1, high2 - low2) THEN 'strong_overlap' ELSE 'partial_overlap' END
+  WHEN greatest(low1, low2) - least(high1, high2) <= least(high1 - low1, high2 - low2) THEN 'near_miss' ELSE 'far_miss' END AS overlap FROM i""")
 def _(t):
     from ohmgrid.functions.intervals import overlap
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ohmgrid.operators import bounds, cleaning, parameters, ranking
+from ohmgrid.functions import intervals
+from ohmgrid.operators import bounds, cleaning, parameters, proxies, ranking
 from ohmgrid.plans import laboratory
 from ohmgrid.plans.base import Registry
 from ohmgrid.sources import sinks
@@ -146,4 +147,60 @@ def _(t):
     return bounds.with_fallback(own, wide, ["experiment", "c"], ["c"])
 
 
+CONTEXTS = """WITH c AS (SELECT device_id, coalesce(data_source, 'baselines') AS source, coalesce(measurement_category, '?') AS category, max(plc) AS plc, max(drain_bias_value) AS bias, min(drain_bias_value) AS least_bias, max(sweep_stop) AS vds, min(sweep_stop) AS least_vds, ln(max(CASE WHEN num_points > 0 THEN num_points END)) AS duration, count(*) AS n
+  FROM baselines_metadata WHERE trim(device_id) <> '' GROUP BY ALL),
+p AS (SELECT t.device_id || '|' || t.category AS target_key, c.source AS candidate_source, c.source || '|' || c.category AS candidate_key, abs(t.plc - c.plc) AS x1, abs(t.bias - c.bias) / 100 AS x2, CASE WHEN c.source <> 'avalanche' THEN abs(t.vds - c.vds) / 1000 END AS x3, abs(t.duration - c.duration) AS dl, CASE WHEN t.category = c.category THEN 0.0 ELSE 0.15 END AS pen,
+  CASE WHEN c.n >= 3 THEN 'usable' WHEN c.n = 2 THEN 'weak' END AS said, c.category = 'Blocking' AS ceiling, t.category = c.category AS same, t.vds AS tv, t.least_vds AS tl, c.vds AS cv, c.least_vds AS cl, t.bias AS tb, t.least_bias AS tlb, c.bias AS cb, c.least_bias AS clb, c.n AS n
+  FROM c t JOIN c ON c.device_id = t.device_id AND t.source = 'irradiation' AND c.source <> 'irradiation'),
+d AS (SELECT *, (x1 IS NOT NULL)::INT + (x2 IS NOT NULL)::INT + (x3 IS NOT NULL)::INT AS used, concat_ws('+', CASE WHEN x1 IS NOT NULL THEN 'collapse' END, CASE WHEN x2 IS NOT NULL THEN 'gate' END, CASE WHEN x3 IS NOT NULL THEN 'vds' END) AS mask,
+  (coalesce(pow(x1 / 0.25, 2), 0) + coalesce(pow(x2 / 0.2, 2), 0) + coalesce(pow(x3 / 0.15, 2), 0)) / nullif((x1 IS NOT NULL)::INT + (x2 IS NOT NULL)::INT + (x3 IS NOT NULL)::INT, 0) AS m FROM p),
+w AS (SELECT *, sqrt(m + 0.01 * pow(coalesce(dl, 1), 2)) AS wave FROM d),
+s AS (SELECT *, CASE WHEN used = 0 THEN 'missing_damage_signature_overlap' WHEN sqrt(m) > 2.5 THEN 'damage_signature_mismatch' WHEN said = 'usable' AND wave <= 1.75 THEN 'measured_damage_candidate' WHEN said = 'weak' AND wave <= 3 THEN 'weak_measured_candidate' WHEN wave <= 1.25 THEN 'waveform_only_candidate' WHEN said IS NULL THEN 'missing_damage_context' ELSE 'inspect_manually' END AS raw FROM w),
+k AS (SELECT *, CASE WHEN ceiling AND raw IN ('measured_damage_candidate', 'weak_measured_candidate', 'waveform_only_candidate') THEN 'analog_questionable' ELSE raw END AS status FROM s),
+z AS (SELECT *, CASE status WHEN 'measured_damage_candidate' THEN 1 WHEN 'weak_measured_candidate' THEN 4 WHEN 'analog_questionable' THEN 5 WHEN 'waveform_only_candidate' THEN 5 WHEN 'missing_damage_context' THEN 5 ELSE 6 END AS priority FROM k)"""
+CLASS = "CASE WHEN {a} IS NULL OR {b} IS NULL OR {c} IS NULL OR {d} IS NULL THEN 4 WHEN {a} <= {d} AND {c} <= {b} THEN CASE WHEN least({b} - {a}, {d} - {c}) <= 0 THEN 0 WHEN (least({b}, {d}) - greatest({a}, {c})) / least({b} - {a}, {d} - {c}) >= 0.5 THEN 0 ELSE 1 END WHEN least({b} - {a}, {d} - {c}) <= 0 THEN 3 WHEN greatest({a}, {c}) - least({b}, {d}) <= least({b} - {a}, {d} - {c}) THEN 2 ELSE 3 END"
+
+
+def _candidate_pairs(t):
+    """Contexts (device, source, category) of irradiated devices with those of the same device from other sources: a
+    device has no more contexts than there are sources and categories, however many files it has."""
+    f = t("baselines_metadata").filter("trim(device_id) <> ''")
+    c = f.groupBy("device_id", F.coalesce("data_source", F.lit("baselines")).alias("source"), F.coalesce("measurement_category", F.lit("?")).alias("category")).agg(
+        F.max("plc").alias("plc"), F.max("drain_bias_value").alias("bias"), F.min("drain_bias_value").alias("least_bias"), F.max("sweep_stop").alias("vds"), F.min("sweep_stop").alias("least_vds"),
+        F.ln(F.max(F.when(F.col("num_points") > 0, F.col("num_points")))).alias("duration"), F.count("*").alias("n"),
+    )
+    target = c.filter("source = 'irradiation'").select("device_id", *(F.col(x).alias(f"t_{x}") for x in c.columns if x != "device_id"))
+    p = target.join(c.filter("source <> 'irradiation'"), "device_id")
+    far = lambda x: F.abs(F.col(f"t_{x}") - F.col(x))
+    return p.withColumns({
+        "target_key": F.concat("device_id", F.lit("|"), "t_category"), "candidate_source": F.col("source"), "candidate_key": F.concat("source", F.lit("|"), "category"), "match_scope": F.lit("same_device"),
+        "collapse_delta": far("plc"), "gate_delta": far("bias") / 100, "normalized_vds_delta": F.when(F.col("source") != "avalanche", far("vds") / 1000), "duration_log_delta": far("duration"),
+        "path_penalty": F.when(F.col("t_category") == F.col("category"), 0.0).otherwise(0.15), "damage_distance": F.lit(None).cast("double"),
+        "damage_comparability_status": F.when(F.col("n") >= 3, "usable").when(F.col("n") == 2, "weak"), "mechanism_status_ceiling": F.when(F.col("category") == "Blocking", "analog_questionable"),
+    })
+
+
+@query("match_v1_rank", CONTEXTS + """,
+m AS (SELECT *, row_number() OVER (PARTITION BY target_key, mask ORDER BY sqrt(m) NULLS LAST, dl NULLS LAST, candidate_source, candidate_key) AS mask_rank FROM z),
+v AS (SELECT *, row_number() OVER (PARTITION BY target_key ORDER BY priority, mask_rank, used DESC, candidate_source, candidate_key) AS candidate_rank FROM m)
+SELECT target_key, candidate_key, status, mask AS axis_mask, mask_rank, candidate_rank, round(sqrt(m), 6) AS axis_distance FROM v WHERE candidate_rank <= 10""")
+def _(t):
+    v = proxies.rank_by_signature(proxies.classified(_candidate_pairs(t)), top=10)
+    return v.select("target_key", "candidate_key", "status", "axis_mask", "mask_rank", "candidate_rank", r("axis_distance").alias("axis_distance"))
+
+
+@query("match_v2_rank", CONTEXTS + f""",
+o AS (SELECT *, {CLASS.format(a="cl", b="cv", c="tl", d="tv")} AS o1, {CLASS.format(a="clb", b="cb", c="tlb", d="tb")} AS o2 FROM z WHERE tv IS NOT NULL AND cv IS NOT NULL),
+v AS (SELECT *, row_number() OVER (PARTITION BY target_key ORDER BY priority, CASE WHEN same THEN 0 WHEN ceiling THEN 1 ELSE 2 END, o1, o2, CASE WHEN cv > 0 AND tv > 0 THEN abs(ln(cv / 1000) - ln(tv / 1000)) ELSE abs(dl) END NULLS LAST, CASE WHEN n >= 2 THEN 0 ELSE 1 END, candidate_key) AS energy_rank FROM o)
+SELECT target_key, candidate_key, status, energy_rank FROM v WHERE energy_rank <= 10""")
+def _(t):
+    p = proxies.classified(_candidate_pairs(t)).withColumns({
+        "fraction_overlap": intervals.overlap("least_vds", "vds", "t_least_vds", "t_vds"), "energy_overlap": intervals.overlap("least_bias", "bias", "t_least_bias", "t_bias"),
+        "failure_fraction": F.col("vds") / 1000, "severity_ratio": F.col("t_vds") / 1000, "log_energy_delta": F.col("duration_log_delta"), "energy_rankable": F.col("vds").isNotNull() & F.col("t_vds").isNotNull(),
+        "regime_match": F.when(F.col("t_category") == F.col("category"), "match").when(F.col("category") == "Blocking", "analog_questionable").otherwise("mechanism_mismatch"),
+        "exposure": F.when(F.col("n") >= 2, "cumulative_present").otherwise("not_applicable"),
+    })
+    return proxies.rank_by_energy(p, top=10).select("target_key", "candidate_key", "status", "energy_rank")
+
+
 QUERIES, SQL = query.queries, query.sql

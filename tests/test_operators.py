@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ohmgrid.functions import intervals, parsing, physics
-from ohmgrid.operators import bounds, cleaning, dose, donors, events, joins, parameters, series, statistics
+from ohmgrid.operators import bounds, cleaning, dose, donors, events, joins, parameters, proxies, series, statistics
 from ohmgrid.plans import relational
 
 
@@ -203,7 +203,7 @@ def test_bounds(spark):
     got = {r.k: (r.low, r.high, r.usable) for r in bounds.bracket(d, ["k"], "b", "v", "failed").collect()}
     assert got == {1: (3.0, 6.0, True), 2: (None, None, False)}
     i = df(spark, "a double, b double, c double, d double", (0.0, 10.0, 2.0, 8.0), (0.0, 10.0, 9.0, 19.0), (0.0, 1.0, 1.5, 3.0), (0.0, 1.0, 9.0, 10.0), (1.0, 0.0, 0.0, 1.0), (None, 1.0, 0.0, 1.0))
-    assert [r[0] for r in i.select(intervals.overlap("a", "b", "c", "d")).collect()] == ["strong", "partial", "near", "far", "missing", "missing"]
+    assert [r[0] for r in i.select(intervals.overlap("a", "b", "c", "d")).collect()] == ["strong_overlap", "partial_overlap", "near_miss", "far_miss", "missing_interval", "missing_interval"]
     c = df(spark, "x int, s string", (1, "a"), (2, "a"), (1, "b"), (1, None))
     assert rows(bounds.chart_query(c, ["s"], {"n": "count(*)"}, series=["x"], series_limit=1)) == sorted([("a", 1, 1), ("b", 1, 1), (None, 1, 1)], key=str)
 
@@ -220,3 +220,39 @@ def test_parsing(spark):
     n = df(spark, "n string", ("W5_C7_IdVg_fwd_-50V_003.csv",), ("dut 25C pulse12",), ("x/3_after800V10us/RT.csv",), (None,))
     got = n.select(parsing.chip(F.col("n")), parsing.bias(F.col("n")), parsing.temperature(F.col("n")), parsing.pulse(F.col("n")), parsing.category(F.col("n"))).collect()
     assert [tuple(r) for r in got] == [("W05_C07", -50.0, None, None, "IdVg"), (None, None, 25.0, 12, "Other"), (None, 800.0, 25.0, 3, "Other"), (None, None, None, None, None)]
+
+
+PAIR = "target_key string, candidate_key string, candidate_source string, match_scope string, collapse_delta double, gate_delta double, normalized_vds_delta double, duration_log_delta double, path_penalty double, damage_distance double, damage_comparability_status string, mechanism_status_ceiling string, log_energy_delta double"
+
+
+def test_candidate_status(spark):
+    def scored(vds, ceiling=None, energy=None):
+        return proxies.classified(df(spark, PAIR, ("t", "c", "sc", "same_device", 0.05, 0.02, vds, 0.0, 0.15, 0.25, "usable", ceiling, energy))).first()
+
+    far = scored(0.70)
+    assert far.axes_used == 3 and far.signature_distance > 2.50 and far.status == "damage_signature_mismatch"
+    near = scored(None)
+    assert near.axes_used == 2 and near.signature_distance < 2.50 and near.status == "measured_damage_candidate"
+    assert scored(None, energy=10.0).status == "measured_damage_candidate"
+    assert near.axis_distance < near.signature_distance
+    assert scored(None, "analog_questionable").status == "analog_questionable"
+    none = proxies.classified(df(spark, PAIR, ("t", "c", "sc", "same_device", None, None, None, None, None, None, None, None, None))).first()
+    assert none.status == "missing_damage_signature_overlap" and none.axis_distance is None
+
+
+def test_candidate_ranks_by_mask(spark):
+    s = "target_key string, candidate_key string, candidate_source string, match_scope string, axis_mask string, axis_distance double, duration_log_delta double, priority int, axes_used int"
+    rank = lambda *r: [(x.candidate_key, x.mask_rank) for x in proxies.rank_by_signature(df(spark, s, *[("t", *y) for y in r])).orderBy("candidate_rank").collect()]
+    assert rank(("a", "avalanche", "same_device", "collapse", 0.01, None, 1, 1), ("b", "sc", "same_device", "collapse+gate", 0.5, None, 1, 2)) == [("b", 1), ("a", 1)]
+    assert rank(("a", "avalanche", "same_device", "collapse", 0.1, None, 1, 1), ("b", "sc", "same_device", "collapse+vds", 0.1, None, 1, 2)) == [("b", 1), ("a", 1)]
+    assert rank(("far", "sc", "same_device", "collapse+gate", 0.5, None, 1, 2), ("close", "sc", "same_device", "collapse+gate", 0.1, None, 1, 2)) == [("close", 1), ("far", 2)]
+    assert rank() == []
+
+
+def test_overlap_classes_and_pulse_counters(spark):
+    i = df(spark, "a double, b double, c double, d double", (1.0, 2.0, 1.2, 3.0), (1.0, 2.0, 1.9, 3.0), (1.0, 2.0, 2.5, 4.0), (1.0, 2.0, 9.0, 10.0), (1.0, 1.0, 0.0, 2.0), (1.0, 1.0, 2.0, 3.0), (2.0, 1.0, 1.0, 2.0), (None, 1.0, 1.0, 2.0))
+    assert [r[0] for r in i.select(intervals.overlap("a", "b", "c", "d")).collect()] == ["strong_overlap", "partial_overlap", "near_miss", "far_miss", "strong_overlap", "far_miss", "missing_interval", "missing_interval"]
+    p = df(spark, "n string, k int", ("RP10_1.4J_Vg-1000001.h5", None), ("C2M0080120D_C100002.h5", 42), ("C2M0080120D_C100002.h5", None), ("x_5.2A00007_y.h5", None))
+    assert [r[0] and tuple(r[0]) for r in p.select(parsing.avalanche_counter(F.col("n"), F.col("k"))).collect()] == [(1, "avalanche_filename_vg_counter"), (42, "avalanche_shot_index_metadata"), None, (7, "avalanche_filename_current_counter")]
+    q = df(spark, "n string, k int", ("sample_pulse12.csv", None), ("device/3_after800V10us/capture.csv", None), ("600V8us.csv", None))
+    assert [r[0] and tuple(r[0]) for r in q.select(parsing.sc_counter(F.col("n"), F.col("k"))).collect()] == [(12, "sc_filename_pulse_counter"), (3, "sc_filename_after_counter"), None]

@@ -47,6 +47,16 @@ def test_long_pause_is_whole(spark):
     assert regrid.regular_series(p, f).count() == 25_001
 
 
+def test_grid_is_extended_to_bounds(spark):
+    p, f = tables(spark, [2.0, 3.0])
+    def status(first, last):
+        b = spark.createDataFrame([(1, first, last), (99, 0, 5)], "metadata_id int, first_slot int, last_slot int")
+        return {r.slot: r.status for r in regrid.regular_series(p, f, b).collect()}
+    assert status(0, 5) == {0: "before", 1: "before", 2: "read", 3: "read", 4: "after", 5: "after"}
+    assert status(3, 2) == status(None, None) == {2: "read", 3: "read"}
+    assert len(status(0, 25_000)) == 25_001
+
+
 def test_files_without_grid_and_empty(spark):
     p, f = tables(spark, [0.0, 5.0])
     assert regrid.missing_slots(p, f.filter("id > 1")).count() == 0
