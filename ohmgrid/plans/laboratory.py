@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ohmgrid.functions import intervals, parsing, physics
 from ohmgrid.operators import bounds, cleaning, dose, donors, events, parameters, series, statistics
 from ohmgrid.plans.base import Registry
+from ohmgrid.session import join_dimension
 from ohmgrid.sources import binary_files, listing, sinks, text_files
 from ohmgrid.streaming import events as stream
 
@@ -455,7 +456,7 @@ SELECT f.id, c.id AS campaign, f.measured_on - c.date_start AS days, measured_on
 def _(t):
     c = t("irradiation_campaigns").select(F.col("id").alias("campaign"), "date_start", "date_end").filter("date_start IS NOT NULL")
     f = t("baselines_metadata").filter("measured_on IS NOT NULL").withColumnRenamed("irrad_campaign_id", "campaign")
-    return f.join(F.broadcast(c), "campaign").select("id", "campaign", F.datediff("measured_on", "date_start").cast("long").alias("days"), F.col("measured_on").between(F.col("date_start"), F.col("date_end")).alias("during"))
+    return join_dimension(f, c, "campaign").select("id", "campaign", F.datediff("measured_on", "date_start").cast("long").alias("days"), F.col("measured_on").between(F.col("date_start"), F.col("date_end")).alias("during"))
 
 
 # ---- serving and streams

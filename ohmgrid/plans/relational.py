@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ohmgrid.operators import cleaning, joins, series, statistics
 from ohmgrid.plans.base import Registry
+from ohmgrid.session import join_dimension
 from ohmgrid.sources import listing, sinks
 
 query = Registry()
@@ -105,7 +106,7 @@ def _(t):
 SELECT f.data_source, l.device_category, count(*) AS files, CAST(sum(f.num_points) AS BIGINT) AS points FROM baselines_metadata f LEFT JOIN device_library l ON f.device_id = l.part_number GROUP BY ALL""")
 def _(t):
     lib = t("device_library").select(F.col("part_number").alias("device_id"), "device_category")  # a fixed list
-    return t("baselines_metadata").join(F.broadcast(lib), "device_id", "left").groupBy("data_source", "device_category").agg(F.count("*").alias("files"), F.sum("num_points").alias("points"))
+    return join_dimension(t("baselines_metadata"), lib, "device_id", how="left").groupBy("data_source", "device_category").agg(F.count("*").alias("files"), F.sum("num_points").alias("points"))
 
 
 @query("join_null_safe", """

@@ -62,8 +62,8 @@ def test_steps_are_chained_from_version_to_version(spark):
     f, s, n = tables(spark, files, [(i, 0, c) for i, c in [(1, "1"), (2, "2,3"), (4, "4,5"), (5, "6")]])
     rules = {r.metadata_id: r.rules.split("; ") for r in sd.consistent_table(f, s, n).collect()}
     day = lambda k: DAY[k].isoformat()
-    assert rules[1] == [f"rename vgs > v_gate @ {day(1)}", f"rename v_gate > vgs @ {day(3)}", "rename vgs > v_gate", "default i_drain", "default time_val"]
-    assert rules[2] == [f"rename v_gate > vgs @ {day(3)}", "rename vgs > v_gate", "default time_val"]
-    assert rules[4] == ["rename vgs > v_gate", "default time_val"] and rules[5] == ["rename vgs > v_gate", "default i_drain", "default time_val"]
+    assert rules[1] == [f"rename vgs > v_gate @ {day(1)}", f"rename v_gate > vgs @ {day(3)}", "rename vgs > v_gate", "default i_drain", "default time_val", "default x"]
+    assert rules[2] == [f"rename v_gate > vgs @ {day(3)}", "rename vgs > v_gate", "default time_val", "default x"]
+    assert rules[4] == ["rename vgs > v_gate", "default time_val", "default x"] and rules[5] == ["rename vgs > v_gate", "default i_drain", "default time_val", "default x"]
     v = sd.fingerprints(f, s, n)
     assert {(r.version, r.change) for r in sd.steps(v).collect()} == {(2, "renamed"), (2, "added"), (4, "renamed")}  # version 3 has the fingerprint of 2
