@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ohmgrid.llm import batch_dedup, canonical, mixing, quantiles, shared_spans, tokenizer
+from ohmgrid.session import join_dimension
 from ohmgrid.tables import table
 
 
@@ -46,6 +47,19 @@ def p6_quantiles(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.quantiles(quantiles.merge(parts, GROUPS), GROUPS)
 
 
+def p6_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each percentile's rank among all values is within the bound, a value being kept to one part in a million."""
+    values = quantiles.measured(table(spark, d, "baselines_measurements"), table(spark, d, "baselines_metadata"))
+    values = values.filter((F.abs("value") < quantiles.LIMIT) & ~F.isnan("value"))
+    group = F.concat_ws("|", F.coalesce("measurement_category", F.lit("?")), "field_name").alias("g")
+    found = p6_quantiles(spark, d).select(group, "q", F.col("value").alias("at"), "n")
+    j = join_dimension(values.select(*GROUPS, "value", group), found, "g")
+    near, off = F.abs("at") * 1e-6, F.col("n") * quantiles.EPSILON
+    ranks = j.groupBy(*GROUPS, "q", "n").agg(F.count_if(F.col("value") < F.col("at") - near).alias("below"), F.count_if(F.col("value") <= F.col("at") + near).alias("upto"))
+    inside = (F.col("below") - off <= F.col("q") * F.col("n")) & (F.col("upto") + off >= F.col("q") * F.col("n"))
+    return ranks.select(*GROUPS, "q", "n", inside.alias("inside"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode(table(spark, d, "documents"))
 
@@ -92,7 +106,7 @@ def p10_sets(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p3_found": p3_found, "p3_batches": p3_batches, "p4_found": p4_found, "p6_quantiles": p6_quantiles, "p6_digests": p6_digests,
+    "p3_found": p3_found, "p3_batches": p3_batches, "p4_found": p4_found, "p6_quantiles": p6_quantiles, "p6_digests": p6_digests, "p6_ranks": p6_ranks,
     "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_feasible_shares": p9_feasible_shares, "p10_found": p10_found, "p10_spans": p10_spans,
     "p10_portions": p10_portions, "p10_classes": p10_classes, "p10_sets": p10_sets,
 }
@@ -143,4 +157,10 @@ P10_PORTIONS_SQL = P10_SPANS_SQL + """, n AS (SELECT doc_id, max(length(text)) A
 SELECT doc_id, n_chars, coalesce(shared, 0) AS shared_chars, coalesce(shared, 0) / n_chars AS portion FROM n LEFT JOIN o USING (doc_id)"""
 P10_SPANS_SQL += "SELECT doc_id, start, length FROM r"
 
-SQL: dict[str, str] = {"p3_found": P3_SQL, "p3_batches": P3_BATCHES_SQL, "p4_found": P4_SQL, "p10_found": P10_SQL, "p10_spans": P10_SPANS_SQL, "p10_portions": P10_PORTIONS_SQL, "p10_classes": P10_CLASSES_SQL}
+#: Every percentile of every category and field is within the bound.
+P6_RANKS_SQL = """
+WITH v AS (SELECT measurement_category, unnest(['rds', 'bv']) AS field_name, unnest([rds, bv]) AS value FROM baselines_measurements p JOIN baselines_metadata f ON f.id = p.metadata_id)
+SELECT measurement_category, field_name, unnest([0.5, 0.9, 0.99]::DOUBLE[]) AS q, count(*) AS n, true AS inside FROM v WHERE abs(value) < 1e30 AND NOT isnan(value) GROUP BY measurement_category, field_name
+"""
+
+SQL: dict[str, str] = {"p6_ranks": P6_RANKS_SQL, "p3_found": P3_SQL, "p3_batches": P3_BATCHES_SQL, "p4_found": P4_SQL, "p10_found": P10_SQL, "p10_spans": P10_SPANS_SQL, "p10_portions": P10_PORTIONS_SQL, "p10_classes": P10_CLASSES_SQL}

@@ -57,6 +57,7 @@ def test_components_that_meet_later(spark, monkeypatch):
     want = {(5, i) for i in range(10, 15)}
     assert repeats(spark, rows) == want
     monkeypatch.setattr(bd, "LOCAL_LINKS", -1)  # the form for large batches
+    monkeypatch.setattr(bd, "BROADCAST_BYTES", -1)
     assert repeats(spark, rows) == want
 
 
