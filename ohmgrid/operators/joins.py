@@ -8,8 +8,12 @@ column; left forms keep rows without a match; empty sides give empty (or left) r
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+
+from ohmgrid.operators import near
 
 
 def top_one(left: DataFrame, right: DataFrame, on: list[str], row: list[str], order: list[Column], condition: Column | None = None) -> DataFrame:
@@ -55,19 +59,39 @@ def points_in_intervals(points: DataFrame, intervals: DataFrame, on: list[str],
     return held.drop(*(f"_r_{c}" for c in on), "_bucket", "_r_bucket")
 
 
-def nearest(left: DataFrame, right: DataFrame, on: list[str], features: list[str], scales: dict[str, float], left_id: str, right_id: str, k: int) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, on: list[str], features: list[str], scales: dict[str, float], left_id: str, right_id: str, k: int, digits: int = 9) -> DataFrame:
     """The k right rows nearest each left row of the same key, by root mean square of scaled differences over the features
-    that both have: (left_id, right_id, distance, shared, rank)."""
+    that both have: (left_id, right_id, distance, shared, rank). Distances equal to so many digits tie, the lower id first.
+    With one feature the rows are found in sorted order; with more, each left row meets every right row of its key."""
+    if len(features) == 1:
+        return _nearest_on_line(left, right, on, features[0], scales[features[0]], left_id, right_id, k, digits)
     r = right.select(*on, F.col(right_id).alias("_id"), *(F.col(f).alias(f"_{f}") for f in features))
     term = {f: F.pow((F.col(f) - F.col(f"_{f}")) / scales[f], 2) for f in features}
     shared = sum((t.isNotNull().cast("int") for t in term.values()), F.lit(0))
     total = sum((F.coalesce(t, F.lit(0.0)) for t in term.values()), F.lit(0.0))
     j = left.select(*on, left_id, *features).join(r, on).withColumn("shared", shared).filter("shared > 0")
     j = j.withColumn("distance", F.sqrt(total / F.col("shared")))
-    w = Window.partitionBy(left_id).orderBy("distance", "_id")
+    w = Window.partitionBy(left_id).orderBy(F.round("distance", digits), "_id")
     return j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(left_id, F.col("_id").alias(right_id), "distance", "shared", "rank")
 
 
+def _nearest_on_line(left: DataFrame, right: DataFrame, on: list[str], feature: str, scale: float, left_id: str, right_id: str, k: int, digits: int) -> DataFrame:
+    a = left.select(*on, left_id, F.col(feature).cast("double").alias("_x")).filter("_x IS NOT NULL")
+    b = right.select(*on, F.col(right_id).alias("_id"), F.col(feature).cast("double").alias("_y")).filter("_y IS NOT NULL AND _id IS NOT NULL")
+    schema = StructType([StructField(left_id, a.schema[left_id].dataType), StructField(right_id, b.schema["_id"].dataType), *(StructField(c, t) for c, t in (("distance", DoubleType()), ("shared", IntegerType()), ("rank", IntegerType())))])
+
+    def near_rows(one, other):
+        (x, _), (y, _) = near.column(one, "_x"), near.column(other, "_y")
+        with np.errstate(all="ignore"):
+            distance = lambda i, j: np.abs(x[i] - y[j]) / scale
+            found = near.k_nearest(x, y, near.ranked(other, "_id"), k, lambda i, j: near.half_up(distance(i, j), digits))
+            row, nth = np.nonzero(found >= 0)
+            at = found[row, nth]
+            return [one.column(left_id).take(row), other.column("_id").take(at), distance(row, at), np.ones(len(row), np.int32), (nth + 1).astype(np.int32)]
+
+    return near.by_key(a, b, on, left_id, near_rows, schema)
+
+
 def fallback(left: DataFrame, right: DataFrame, keys: list[list[str]], value: str, how_label: str = "matched_by") -> DataFrame:
     """left with value from right by the first key list that finds one, and by which; right keeps the lowest value a key."""
     out, found, label = left, F.lit(None).cast(right.schema[value].dataType), F.lit(None).cast("string")
