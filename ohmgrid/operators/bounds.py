@@ -6,9 +6,15 @@ often enough; inverted brackets are ordered and marked; empty tables give empty
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from ohmgrid.operators import near
 from ohmgrid.operators.statistics import mode
 
 
@@ -40,6 +46,29 @@ def axis_distance(pairs: DataFrame, axes: dict[str, tuple[str, str]], scales: di
     return pairs.withColumn("axes_used", used).withColumn("distance", F.sqrt(F.try_divide(sum((F.coalesce(v, F.lit(0.0)) for v in term.values()), F.lit(0.0)), F.nullif(used, F.lit(0)).cast("double"))))
 
 
+def best_candidates(targets: DataFrame, candidates: DataFrame, on: list[str], axes: list[tuple[str, str]], target: str, candidate: str, scores: list[Callable], digits: int = 9, shown: int | None = None) -> DataFrame:
+    """(place, target, candidate, score): the candidate of the same key of lowest score for each target, under each of the
+    scores, whose place in the list is named. Scores are as in near.best_match, NaN for none; those equal to so many digits
+    tie, the lower candidate first; shown rounds them. The first axis is searched in order, the others should have few values."""
+    value = lambda cols: [F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(cols)]
+    a = targets.select(*on, target, *value(x for x, _ in axes))
+    b = candidates.select(*on, F.col(candidate).alias("_id"), *value(y for _, y in axes)).filter("_id IS NOT NULL")
+    types = (("place", IntegerType()), (target, a.schema[target].dataType), (candidate, b.schema["_id"].dataType), ("score", DoubleType()))
+
+    def best_rows(one, other):
+        x, y = ([near.column(t, f"_{i}") for i in range(len(axes))] for t in (one, other))
+        ids, out = near.ranked(other, "_id"), []
+        with np.errstate(all="ignore"):
+            for k, f in enumerate(scores):
+                at = near.best_match(x, y, ids, lambda p, q: near.half_up(f(p, q), digits))[0]  # noqa: B023
+                s = f(x, [(v[at], known[at]) for v, known in y])
+                s = s if shown is None else near.half_up(s, shown)
+                out.append([pa.repeat(pa.scalar(k, pa.int32()), len(at)), one.column(target).combine_chunks(), other.column("_id").take(at).combine_chunks(), pa.array(s, mask=np.isnan(s))])
+        return [pa.chunked_array(c) for c in zip(*out)]
+
+    return near.by_key(a, b, on, target, best_rows, StructType([StructField(n, t) for n, t in types]))
+
+
 def grid_best(pairs: DataFrame, settings: DataFrame, axes: dict[str, tuple[str, str]], target: str, candidate: str) -> DataFrame:
     """(setting, target, candidate, distance): the best candidate of each target under each row of settings, a small table
     of one scale column for each axis; every pair is repeated once for each setting, nothing else."""

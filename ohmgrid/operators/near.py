@@ -116,3 +116,34 @@ def by_key(left: DataFrame, right: DataFrame, on: list[str], left_id: str, f: Ca
         return pa.table([pa.chunked_array(c.chunks, t) if isinstance(c, pa.ChunkedArray) else pa.array(c, t) for c, t in zip(f(one, other), form.types)], schema=form)
 
     return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(both, schema)
+
+
+Axis = tuple[np.ndarray, np.ndarray]
+
+
+def best_match(left: list[Axis], right: list[Axis], ids: np.ndarray, score: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """The place of the right row of lowest (score, id) for each left row, and its score. Axes are columns as column() gives
+    them: the first is searched in order within each class of right rows that agree on all others. score takes the axes of
+    both sides, as arrays of one shape; NaN is the greatest."""
+    n = len(left[0][0])
+    best, least = np.full(n, -1), np.full(n, np.nan)
+    kind = right[0][1].astype(np.int64)
+    for v, known in right[1:]:
+        kind = np.unique(kind * (len(v) + 1) + np.where(known, np.unique(v, return_inverse=True)[1] + 1, 0), return_inverse=True)[1]
+    (x, has_x), (y, has_y) = left[0], right[0]
+    pick = lambda axes, at: [(v[at], known[at]) for v, known in axes]
+    for c in range(kind.max() + 1 if len(kind) else 0):
+        own = np.flatnonzero(kind == c)
+        for has in (True, False):
+            rows = np.flatnonzero(has_x == has)
+            if not len(own) or not len(rows):
+                continue
+            line = (x[rows], y[own]) if has and has_y[own[0]] else (np.zeros(len(rows)), np.zeros(len(own)))  # else the axis tells nothing
+            scored = lambda i, j: score(pick(left, rows[i]), pick(right, own[j]))  # noqa: B023, E731
+            found = k_nearest(*line, ids[own], 1, scored)[:, 0]
+            s, at = scored(np.arange(len(rows)), found), own[found]
+            new, old = np.isnan(s), np.isnan(least[rows])
+            same = (s == least[rows]) | (new & old)
+            better = (best[rows] < 0) | (old & ~new) | (s < least[rows]) | (same & (ids[at] < ids[best[rows]]))
+            best[rows[better]], least[rows[better]] = at[better], s[better]
+    return best, least

@@ -271,9 +271,15 @@ def _(t):
 PAIRS = """pairs AS (SELECT c_custkey AS target, s_suppkey AS candidate, c_acctbal AS x1, s_acctbal AS y1, CAST(c_custkey % 7 AS DOUBLE) AS x2, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE CAST(s_suppkey % 7 AS DOUBLE) END AS y2 FROM customer JOIN supplier ON c_nationkey = s_nationkey)"""
 
 
-def pair_rows(t):
+def pair_sides(t):
+    """Targets and candidates of the pairs, with their key k."""
     s = t("supplier").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("candidate"), F.col("s_acctbal").alias("y1"), F.when(F.col("s_suppkey") % 5 == 0, None).otherwise((F.col("s_suppkey") % 7).cast("double")).alias("y2"))
     c = t("customer").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("target"), F.col("c_acctbal").alias("x1"), (F.col("c_custkey") % 7).cast("double").alias("x2"))
+    return c, s
+
+
+def pair_rows(t):
+    c, s = pair_sides(t)
     return c.join(s, "k")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -55,10 +56,13 @@ def _(t):
 @query("match_argmin", f"""
 WITH {laboratory.PAIRS} SELECT target, candidate, round(score, 6) AS score FROM (SELECT target, candidate, CASE WHEN x2 IS DISTINCT FROM y2 THEN 10 ELSE 0 END + abs(x1 - y1) / greatest(abs(x1), 1) AS score, row_number() OVER (PARTITION BY target ORDER BY round(CASE WHEN x2 IS DISTINCT FROM y2 THEN 10 ELSE 0 END + abs(x1 - y1) / greatest(abs(x1), 1), 9), candidate) AS n FROM pairs) WHERE n = 1""")
 def _(t):
-    score = F.when(~F.col("x2").eqNullSafe(F.col("y2")), 10).otherwise(0) + F.abs(F.col("x1") - F.col("y1")) / F.greatest(F.abs("x1"), F.lit(1.0))
-    p = laboratory.pair_rows(t).withColumn("score", score)
-    best = F.min(F.struct(r("score", 9).alias("s"), "candidate", "score"))
-    return p.groupBy("target").agg(best.alias("b")).select("target", "b.candidate", r("b.score").alias("score"))
+    def score(x, y):
+        ((x1, k1), (x2, k2)), ((y1, n1), (y2, n2)) = x, y
+        unlike = np.where((k2 != n2) | (k2 & n2 & (x2 != y2)), 10.0, 0.0)
+        return np.where(k1 & n1, unlike + np.abs(x1 - y1) / np.maximum(np.abs(x1), 1.0), np.nan)
+
+    c, s = laboratory.pair_sides(t)
+    return bounds.best_candidates(c, s, ["k"], [("x1", "y1"), ("x2", "y2")], "target", "candidate", [score], shown=6).drop("place")
 
 
 def flagged(t):

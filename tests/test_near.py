@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from ohmgrid.operators import joins, near
+from ohmgrid.plans import laboratory, reports
 
 
 def every_pair(x, y, ids, k, score):
@@ -50,3 +51,41 @@ def test_nearest_of_blocks(spark, monkeypatch):
     right = frame(spark, "k int, r string, v double", [(i % 2, f"{i:03}", i + 0.25) for i in range(0, 200, 5)])
     got = {x.l: x.r for x in joins.nearest(left, right, ["k"], ["v"], {"v": 1.0}, "l", "r", 1).collect()}
     assert got == {i: min((abs(i - j - 0.25), f"{j:03}") for j in range(0, 200, 5) if j % 2 == i % 2)[1] for i in range(40)}
+
+
+def every_match(x, y, ids, score):
+    one, all_ = np.zeros(len(ids), int), np.arange(len(ids))
+    pick = lambda axes, at: [(v[at], known[at]) for v, known in axes]
+    s = [score(pick(x, one + i), pick(y, all_)) for i in range(len(x[0][0]))]
+    return [int(np.lexsort((ids, np.nan_to_num(v), np.isnan(v)))[0]) for v in s]
+
+
+def test_best_match_is_that_of_every_pair():
+    def score(x, y):
+        both = [p & q for (_, p), (_, q) in zip(x, y)]
+        with np.errstate(all="ignore"):
+            return near.half_up(np.sqrt(sum(np.where(k, (v - w) ** 2, 0.0) for k, (v, _), (w, _) in zip(both, x, y)) / sum(both)), 1)
+
+    for seed in range(60):
+        g = np.random.default_rng(seed)
+        side = lambda n, g=g: [(g.integers(-40, 40, n) / 10, g.random(n) < 0.9), (g.integers(0, 4, n).astype(float), g.random(n) < 0.8)]
+        x, y = side(int(g.integers(1, 30))), side(int(g.integers(1, 60)))
+        ids = g.permutation(len(y[0][0]))
+        assert near.best_match(x, y, ids, score)[0].tolist() == every_match(x, y, ids, score)
+
+
+SUPPLIERS = "s_nationkey int, s_suppkey long, s_acctbal double"
+CUSTOMERS = "c_nationkey int, c_custkey long, c_acctbal double"
+
+
+def match(spark, folder, name, customers, suppliers):
+    frame(spark, CUSTOMERS, customers).write.parquet(f"{folder}/customer.parquet")
+    frame(spark, SUPPLIERS, suppliers).write.parquet(f"{folder}/supplier.parquet")
+    got = (reports.QUERIES | laboratory.QUERIES)[name](spark, str(folder))
+    return got, sorted(tuple(r) for r in got.collect())
+
+
+def test_argmin_builds_no_pairs_and_puts_unknown_values_last(spark, tmp_path):
+    got, found = match(spark, tmp_path, "match_argmin", [(1, 7, 100.0), (1, 8, 100.0), (2, 9, 1.0)], [(1, 14, None), (1, 21, 90.0), (1, 28, 110.0), (1, 1, 400.0), (3, 2, 1.0)])
+    assert found == [(7, 21, 0.1), (8, 1, 3.0)]  # 7 has the code of 21 and 28, which tie; 8 that of 1
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
