@@ -69,15 +69,22 @@ def best_candidates(targets: DataFrame, candidates: DataFrame, on: list[str], ax
     return near.by_key(a, b, on, target, best_rows, StructType([StructField(n, t) for n, t in types]))
 
 
-def grid_best(pairs: DataFrame, settings: DataFrame, axes: dict[str, tuple[str, str]], target: str, candidate: str) -> DataFrame:
-    """(setting, target, candidate, distance): the best candidate of each target under each row of settings, a small table
-    of one scale column for each axis; every pair is repeated once for each setting, nothing else."""
+def grid_best(targets: DataFrame, candidates: DataFrame, on: list[str], settings: DataFrame, axes: dict[str, tuple[str, str]], target: str, candidate: str, shown: int | None = None) -> DataFrame:
+    """(setting, target, candidate, distance): the best candidate of the same key of each target under each row of settings,
+    a small table of one scale column for each axis; distance as in axis_distance."""
     rows = [r.asDict() for r in settings.collect()]  # the grid
-    grid = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in r.items())) for r in rows))
-    wide = pairs.withColumn("_g", F.explode(grid)).select("*", "_g.*")
-    d = axis_distance(wide, axes, {a: F.col(f"scale_{a}") for a in axes})
-    w = Window.partitionBy("setting", target).orderBy(F.asc_nulls_last("distance"), candidate)
-    return d.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("setting", target, candidate, "distance")
+
+    def distance(r):
+        def score(x, y):
+            both = [p & q for (_, p), (_, q) in zip(x, y)]
+            total = sum(np.where(k, ((v - w) / r[f"scale_{a}"]) ** 2, 0.0) for a, k, (v, _), (w, _) in zip(axes, both, x, y))
+            return np.sqrt(total / sum(both))  # NaN without a shared axis
+
+        return score
+
+    got = best_candidates(targets, candidates, on, list(axes.values()), target, candidate, [distance(r) for r in rows], shown=shown)
+    setting = F.element_at(F.array(*(F.lit(r["setting"]).cast(settings.schema["setting"].dataType) for r in rows)), F.col("place") + 1)
+    return got.select(setting.alias("setting"), target, candidate, F.col("score").alias("distance"))
 
 
 def chart_query(df: DataFrame, x: list[str], metrics: dict[str, str], series: list[str] | None = None, where: str | None = None, limit: int | None = None, series_limit: int | None = None, series_metric: str = "count(*)") -> DataFrame:

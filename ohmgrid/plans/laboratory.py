@@ -295,9 +295,9 @@ WITH {PAIRS}, g AS (SELECT * FROM (VALUES (1, 1000.0, 2.0), (2, 500.0, 4.0), (3,
 d AS (SELECT setting, target, candidate, sqrt((pow((x1 - y1) / a, 2) + coalesce(pow((x2 - y2) / b, 2), 0)) / (1 + CAST(y2 IS NOT NULL AS INT))) AS distance FROM pairs, g)
 SELECT setting, target, candidate, round(distance, 2) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY setting, target ORDER BY round(distance, 9), candidate) AS n FROM d) WHERE n = 1""")
 def _(t):
-    p = pair_rows(t)
-    g = p.sparkSession.createDataFrame([(1, 1000.0, 2.0), (2, 500.0, 4.0), (3, 4000.0, 1.0)], "setting int, scale_a double, scale_b double")
-    return bounds.grid_best(p, g, {"a": ("x1", "y1"), "b": ("x2", "y2")}, "target", "candidate").select("setting", "target", "candidate", r("distance", 2).alias("distance"))
+    c, s = pair_sides(t)
+    g = c.sparkSession.createDataFrame([(1, 1000.0, 2.0), (2, 500.0, 4.0), (3, 4000.0, 1.0)], "setting int, scale_a double, scale_b double")
+    return bounds.grid_best(c, s, ["k"], g, {"a": ("x1", "y1"), "b": ("x2", "y2")}, "target", "candidate", shown=2)
 
 
 @query("match_agreement", """

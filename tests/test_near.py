@@ -89,3 +89,9 @@ def test_argmin_builds_no_pairs_and_puts_unknown_values_last(spark, tmp_path):
     got, found = match(spark, tmp_path, "match_argmin", [(1, 7, 100.0), (1, 8, 100.0), (2, 9, 1.0)], [(1, 14, None), (1, 21, 90.0), (1, 28, 110.0), (1, 1, 400.0), (3, 2, 1.0)])
     assert found == [(7, 21, 0.1), (8, 1, 3.0)]  # 7 has the code of 21 and 28, which tie; 8 that of 1
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_grid_builds_no_pairs_and_ties_by_rounded_distance(spark, tmp_path):
+    got, found = match(spark, tmp_path, "match_grid", [(1, 8, 100.0)], [(1, 21, 100.01), (1, 28, 100.0)])  # codes 1, 0 and 0
+    assert found == [(1, 8, 21, 0.35), (2, 8, 28, 0.18), (3, 8, 21, 0.71)]
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
