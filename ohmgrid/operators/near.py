@@ -118,6 +118,31 @@ def by_key(left: DataFrame, right: DataFrame, on: list[str], left_id: str, f: Ca
     return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(both, schema)
 
 
+def counts_within(x: np.ndarray, d: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many of the values y lie within d of each x: abs(x - y) <= d in doubles, as for every pair; NaN lies nowhere."""
+    values = np.sort(y[~np.isnan(y)])
+    out = np.zeros(len(x), np.int64)
+    with np.errstate(all="ignore"):
+        for i in np.flatnonzero(~np.isfinite(x)):  # without a place in the order
+            out[i] = np.count_nonzero(np.abs(x[i] - values) <= d[i])
+        at = np.flatnonzero(np.isfinite(x))
+        if not len(values) or not len(at):
+            return out
+        xs, ds = x[at], d[at]
+        place = np.searchsorted(values, xs, "right")
+
+        def first(low, high, within):
+            """The first place in [low, high) that is within, or is not; high where there is none."""
+            while (open_ := low < high).any():
+                mid = (low + high) // 2
+                hit = (np.abs(xs - values[np.minimum(mid, len(values) - 1)]) <= ds) == within
+                low, high = np.where(open_ & ~hit, mid + 1, low), np.where(open_ & hit, mid, high)
+            return low
+
+        out[at] = first(place, np.full_like(place, len(values)), False) - first(np.zeros_like(place), place, True)
+    return out
+
+
 Axis = tuple[np.ndarray, np.ndarray]
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ohmgrid.functions import intervals
@@ -45,11 +44,9 @@ t AS (SELECT target, max(candidate) AS candidate FROM pairs GROUP BY 1)"""
 
 @query("match_ranking_quality", RANKED + " SELECT method, count(*) AS targets, count(*) FILTER (WHERE rank = 1) AS top1, count(*) FILTER (WHERE rank <= 3) AS top3, round(avg(rank), 6) AS mean_rank FROM k JOIN t USING (target, candidate) GROUP BY 1")
 def _(t):
-    p = laboratory.pair_rows(t)
-    order = {"balance": F.abs(F.col("x1") - F.col("y1")), "code": F.abs(F.col("x2") - F.col("y2"))}
-    k = [p.select("target", "candidate", F.lit(m).alias("method"), F.row_number().over(Window.partitionBy("target").orderBy(F.asc_nulls_last(o), "candidate")).alias("rank")) for m, o in order.items()]
-    truth = p.groupBy("target").agg(F.max("candidate").alias("candidate"))
-    q = ranking.ranking_quality(k[0].unionByName(k[1]), truth, "target", "candidate", "method", "rank")
+    c, s = laboratory.pair_sides(t)
+    k = ranking.last_ranks(c, s, ["k"], {"balance": ("x1", "y1"), "code": ("x2", "y2")}, "target", "candidate")
+    q = ranking.ranking_quality(k, "method", "rank")
     return q.withColumn("mean_rank", r("mean_rank"))
 
 

@@ -1,5 +1,6 @@
 """Searches in sorted order against every pair."""
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -95,3 +96,24 @@ def test_grid_builds_no_pairs_and_ties_by_rounded_distance(spark, tmp_path):
     got, found = match(spark, tmp_path, "match_grid", [(1, 8, 100.0)], [(1, 21, 100.01), (1, 28, 100.0)])  # codes 1, 0 and 0
     assert found == [(1, 8, 21, 0.35), (2, 8, 28, 0.18), (3, 8, 21, 0.71)]
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counts_within_are_those_of_every_pair():
+    for seed in range(60):
+        g = np.random.default_rng(seed)
+        x, y = g.integers(-50, 50, g.integers(0, 40)) / 10, g.integers(-50, 50, g.integers(0, 60)) / 10
+        for v in (x, y):
+            if seed % 4 == 0 and len(v):
+                v[g.integers(0, len(v))] = (np.nan, np.inf, -np.inf)[seed // 4 % 3]
+        with np.errstate(all="ignore"):
+            d = np.abs(x - (y[0] if len(y) else 1.0))
+            assert near.counts_within(x, d, y).tolist() == [int(sum(abs(a - y) <= b)) for a, b in zip(x, d)]
+
+
+def test_ranking_quality_builds_no_pairs(spark, tmp_path):
+    got, found = match(spark, tmp_path, "match_ranking_quality", [(1, 7, 100.0), (1, 8, None), (2, 9, 1.0)], [(1, 21, 90.0), (1, 28, 110.0), (1, 33, 110.0), (1, 25, None), (3, 2, 1.0)])
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    c = duckdb.connect()
+    for n in ("customer", "supplier"):
+        c.sql(f"CREATE VIEW {n} AS SELECT * FROM '{tmp_path}/{n}.parquet/*.parquet'")
+    assert found == sorted(c.execute(reports.SQL["match_ranking_quality"]).fetchall())
