@@ -41,9 +41,17 @@ def with_fallback(bounds: DataFrame, wider: DataFrame, key: list[str], wide_key:
 
 def axis_distance(pairs: DataFrame, axes: dict[str, tuple[str, str]], scales: dict[str, float | Column]) -> DataFrame:
     """pairs plus axes_used and distance: root mean square of the scaled differences of the axes that both sides have."""
-    term = {a: F.pow((F.col(x) - F.col(y)) / scales[a], 2) for a, (x, y) in axes.items()}
-    used = sum((v.isNotNull().cast("int") for v in term.values()), F.lit(0))
-    return pairs.withColumn("axes_used", used).withColumn("distance", F.sqrt(F.try_divide(sum((F.coalesce(v, F.lit(0.0)) for v in term.values()), F.lit(0.0)), F.nullif(used, F.lit(0)).cast("double"))))
+    part = {a: (F.col(x) - F.col(y)) / scales[a] for a, (x, y) in axes.items()}
+    used = sum((v.isNotNull().cast("int") for v in part.values()), F.lit(0))
+    total = sum((F.coalesce(v * v, F.lit(0.0)) for v in part.values()), F.lit(0.0))  # pow costs several times as much
+    return pairs.withColumn("axes_used", used).withColumn("distance", F.when(used > 0, F.sqrt(total / used)))
+
+
+def rounded(c: str, digits: int) -> Column:
+    """A column of doubles from 0 up, rounded in binary as SQL engines do, without the decimal text that round() goes through."""
+    scale = 10.0**digits
+    z = F.col(c) * scale  # from 2**52 on it is whole
+    return F.when(z < 2.0**52, F.floor(z + 0.5) / scale).when(z < float("inf"), z / scale).otherwise(F.col(c))
 
 
 def best_candidates(targets: DataFrame, candidates: DataFrame, on: list[str], axes: list[tuple[str, str]], target: str, candidate: str, scores: list[Callable], digits: int = 9, shown: int | None = None) -> DataFrame:

@@ -278,16 +278,21 @@ def pair_sides(t):
     return c, s
 
 
+#: Targets in a task that pairs them.
+TARGETS = 2_500
+
+
 def pair_rows(t):
+    """All pairs: as many for a target as its key has candidates, so the targets are dealt to tasks evenly, not by key."""
     c, s = pair_sides(t)
-    return c.join(s, "k")
+    return join_dimension(c.repartition(max(1, -(-c.count() // TARGETS)), "target"), s, "k")
 
 
 @query("match_axis_distance", f"""
 WITH {PAIRS} SELECT target, candidate, 1 + CAST(y2 IS NOT NULL AS INT) AS axes_used, round(sqrt((pow((x1 - y1) / 1000, 2) + coalesce(pow((x2 - y2) / 2, 2), 0)) / (1 + CAST(y2 IS NOT NULL AS INT))), 6) AS distance FROM pairs""")
 def _(t):
     d = bounds.axis_distance(pair_rows(t), {"a": ("x1", "y1"), "b": ("x2", "y2")}, {"a": 1000.0, "b": 2.0})
-    return d.select("target", "candidate", "axes_used", r("distance").alias("distance"))
+    return d.select("target", "candidate", "axes_used", bounds.rounded("distance", 6).alias("distance"))
 
 
 @query("match_grid", f"""

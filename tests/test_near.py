@@ -117,3 +117,14 @@ def test_ranking_quality_builds_no_pairs(spark, tmp_path):
     for n in ("customer", "supplier"):
         c.sql(f"CREATE VIEW {n} AS SELECT * FROM '{tmp_path}/{n}.parquet/*.parquet'")
     assert found == sorted(c.execute(reports.SQL["match_ranking_quality"]).fetchall())
+
+
+def test_pairs_are_spread_and_rounded_as_in_sql(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(laboratory, "TARGETS", 2)
+    got, found = match(spark, tmp_path, "match_axis_distance", [(1, i, 0.0) for i in range(1, 9)] + [(1, 9, 5e15), (2, 10, 1.0)], [(1, i, i + 0.0005) for i in range(1000, 1300)] + [(1, 7, None)])
+    c = duckdb.connect()
+    for n in ("customer", "supplier"):
+        c.sql(f"CREATE VIEW {n} AS SELECT * FROM '{tmp_path}/{n}.parquet/*.parquet'")
+    key = lambda row: row[:2]
+    assert [x for x in found if x[1] != 7] == sorted(c.execute(f"SELECT * FROM ({laboratory.SQL['match_axis_distance']}) WHERE candidate <> 7").fetchall(), key=key)
+    assert got.rdd.getNumPartitions() == 5
