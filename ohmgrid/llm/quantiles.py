@@ -178,13 +178,13 @@ def _squeeze(groups: list[str]) -> Callable:
 
 
 def merge(nodes: DataFrame, groups: list[str]) -> DataFrame:
-    """Digests added up for each group and compressed again to at most about 3 K nodes and the subtrees' roots."""
+    """Digests added up for each group and compressed again to at most about 3 K nodes and the subtrees' roots, each root with its subtree."""
     added = materialize(nodes.groupBy(*groups, "node").agg(F.sum("count").alias("count")), "nodes")
     total = added.groupBy(*groups).agg(F.sum("count").alias("n")).withColumn("gid", F.xxhash64(*(F.coalesce(F.col(g).cast("string"), F.lit("\0")) for g in groups)))
     total = total.select(*(F.col(g).alias(f"of_{g}") for g in groups), "n", "gid")
     keyed = added.join(total, [F.col(g).eqNullSafe(F.col(f"of_{g}")) for g in groups]).select(*groups, "node", "count", "n", "gid")
     depth = F.floor(F.log2(F.col("node").cast("double")))
-    root = F.when(depth > BITS - SUBTREE, F.floor(F.col("node") / F.pow(F.lit(2.0), depth - (BITS - SUBTREE)))).otherwise(-1)
+    root = F.when(depth >= BITS - SUBTREE, F.floor(F.col("node") / F.pow(F.lit(2.0), depth - (BITS - SUBTREE)))).otherwise(-1)
     keyed = keyed.withColumn("root", root.cast("long")).repartition("gid", "root").sortWithinPartitions("gid", "root")
     return keyed.mapInArrow(_squeeze(groups), _schema(nodes, groups))
 

@@ -58,6 +58,22 @@ def test_merged_batches_equal_one(spark):
     assert sorted(both.collect()) == sorted(once.collect())
 
 
+def test_merging_again_keeps_the_bound(spark):
+    """Batches merged one after another, each with less than n / K values in a power of two, whose node is not in the task of its subtree."""
+    own = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else so few nodes are one task
+    try:
+        have = spark.createDataFrame([("a", (1 << q.BITS) | int(q.encode(np.array([1000.0]))[0]), 100 * q.K)], "g string, node long, count long")
+        for b in range(2):
+            new = spark.createDataFrame([("a", 2.0**e * (1 + (i + b / 2) / 80)) for i in range(80) for e in range(6)], "g string, value double")
+            have = q.merge(have.unionByName(q.digest(new, ["g"])), ["g"])
+        nodes = have.groupBy("node").agg({"count": "sum"}).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", own)
+    assert sum(r[1] for r in nodes) == 100 * q.K + 960
+    assert max(r[1] for r in nodes if r.node < 1 << q.BITS) <= 100
+
+
 def test_nulls_overflow_empty_and_clash(spark):
     rows = [(None, 1.0, 9), (None, None, 9), ("a", float("nan"), 9), ("a", 1e30, 9), ("a", -1e31, 9), ("b", 0.0, 9), ("b", -0.0, 9), ("b", -2.0, 9)]
     df = spark.createDataFrame(rows, "g string, value double, count int")
